@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, private_data, token_output
+from . import mixing, near_dedup, private_data, quality, token_output
 from .common import table
 
 
@@ -15,6 +15,14 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = mixing.copies(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
@@ -28,5 +36,5 @@ def op9_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.token_output(table(spark, sf_dir, "documents"), default_tokenizer(), end_id=2)
 
 
-QUERIES = {"op7_mixing": op7_mixing, "op8_pii": op8_pii, "op9_token_output": op9_token_output}
-ORACLES = {"op7_mixing": mixing.ORACLE}
+QUERIES = {"op10_quality": op10_quality, "op5_near_dedup": op5_near_dedup, "op7_mixing": op7_mixing, "op8_pii": op8_pii, "op9_token_output": op9_token_output}
+ORACLES = {"op5_near_dedup": near_dedup.ORACLE, "op7_mixing": mixing.ORACLE}
