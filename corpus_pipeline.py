@@ -1,8 +1,62 @@
-"""The corpus pipeline."""
+"""The corpus pipeline: quality, near-duplicates, benchmark leaks, mixing, token files.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; every stage works on what its
+predecessor kept, which is written as Parquet and read again in between.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from verdigraph.llm import decontamination, mixing, near_dedup, quality, token_output
+from verdigraph.llm.common import Scratch, table
+from verdigraph.llm.queries import default_tokenizer
+
+
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 10: documents that the classifier rejects go."""
+    return quality.accepted(docs, table(spark, sf_dir, "labels"))
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 5: one document of each group stays, the one with the smallest doc_id."""
+    return near_dedup.keep_one(docs)
+
+
+def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 3: documents that hold a benchmark item go."""
+    return decontamination.clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 7: documents are emitted as often as the mix takes them."""
+    return mixing.mix(docs)
+
+
+def write_token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 9: token files, read back: doc_id, start, n_tokens, ids_crc32."""
+    return token_output.token_output(docs, default_tokenizer(), end_id=2)
+
+
+STAGES = [
+    ("quality classifier", keep_quality),
+    ("MinHash near-dedup", drop_near_duplicates),
+    ("benchmark decontamination", drop_benchmark_leaks),
+    ("mixing sources to target weights", mix_sources),
+    ("token-ID output", write_token_ids),
+]
+
+#: A learned classifier's scores and a tokenizer's ids are beyond SQL.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scratch = Scratch(spark, "pipeline")
+    for k, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = scratch.save(docs, str(k))
+            if k:
+                scratch.drop(str(k - 1))
+    return docs

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, near_dedup, private_data, quality, token_output
+from . import decontamination, mixing, near_dedup, private_data, quality, token_output
 from .common import table
 
 
@@ -15,6 +15,10 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -36,5 +40,5 @@ def op9_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.token_output(table(spark, sf_dir, "documents"), default_tokenizer(), end_id=2)
 
 
-QUERIES = {"op10_quality": op10_quality, "op5_near_dedup": op5_near_dedup, "op7_mixing": op7_mixing, "op8_pii": op8_pii, "op9_token_output": op9_token_output}
+QUERIES = {"op3_decontamination": op3_decontamination, "op10_quality": op10_quality, "op5_near_dedup": op5_near_dedup, "op7_mixing": op7_mixing, "op8_pii": op8_pii, "op9_token_output": op9_token_output}
 ORACLES = {"op5_near_dedup": near_dedup.ORACLE, "op7_mixing": mixing.ORACLE}
