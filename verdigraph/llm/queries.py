@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, mixing, near_dedup, private_data, quality, token_output
+from . import decontamination, fingerprints, mixing, near_dedup, private_data, quality, token_output
 from .common import table
 
 
@@ -27,6 +27,10 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = mixing.copies(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
@@ -40,5 +44,5 @@ def op9_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.token_output(table(spark, sf_dir, "documents"), default_tokenizer(), end_id=2)
 
 
-QUERIES = {"op3_decontamination": op3_decontamination, "op10_quality": op10_quality, "op5_near_dedup": op5_near_dedup, "op7_mixing": op7_mixing, "op8_pii": op8_pii, "op9_token_output": op9_token_output}
+QUERIES = {"op6_imatch": op6_imatch, "op3_decontamination": op3_decontamination, "op10_quality": op10_quality, "op5_near_dedup": op5_near_dedup, "op7_mixing": op7_mixing, "op8_pii": op8_pii, "op9_token_output": op9_token_output}
 ORACLES = {"op5_near_dedup": near_dedup.ORACLE, "op7_mixing": mixing.ORACLE}
