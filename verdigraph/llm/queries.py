@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, fingerprints, mixing, near_dedup, private_data, quality, token_output
+from . import decontamination, fingerprints, html_text, licenses, mixing, near_dedup, private_data, quality, token_output, warc
 from .common import table
 
 
@@ -15,6 +15,18 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.digest(warc.resolve(warc.captures(spark, sf_dir)))
+
+
+def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -44,5 +56,16 @@ def op9_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.token_output(table(spark, sf_dir, "documents"), default_tokenizer(), end_id=2)
 
 
-QUERIES = {"op6_imatch": op6_imatch, "op3_decontamination": op3_decontamination, "op10_quality": op10_quality, "op5_near_dedup": op5_near_dedup, "op7_mixing": op7_mixing, "op8_pii": op8_pii, "op9_token_output": op9_token_output}
-ORACLES = {"op5_near_dedup": near_dedup.ORACLE, "op7_mixing": mixing.ORACLE}
+QUERIES = {
+    "op1_warc_revisits": op1_warc_revisits,
+    "op2_html_extraction": op2_html_extraction,
+    "op3_decontamination": op3_decontamination,
+    "op4_license_scan": op4_license_scan,
+    "op5_near_dedup": op5_near_dedup,
+    "op6_imatch": op6_imatch,
+    "op7_mixing": op7_mixing,
+    "op8_pii": op8_pii,
+    "op9_token_output": op9_token_output,
+    "op10_quality": op10_quality,
+}
+ORACLES = {"op1_warc_revisits": warc.ORACLE, "op5_near_dedup": near_dedup.ORACLE, "op7_mixing": mixing.ORACLE}
