@@ -1,12 +1,412 @@
-"""Registry of the engine's driver queries and their SQL oracles."""
+"""Registry of the engine's driver queries and their SQL oracles.
+
+Each query applies an operator to the star view (plans.starview) or to a table as a whole.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from .functions import text as T
+from .functions import units
+from .operators import aggregate, graph, impact, matrix, search
+from .plans.starview import CTES, DEPTH, Star
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None, star: bool = True):
+    """Registers a query of a Star; sql follows the star view's CTEs unless star is false."""
+
+    def register(f: Callable[[Star], DataFrame]):
+        QUERIES[name] = lambda spark, sf_dir: f(Star(spark, sf_dir))
+        if sql is not None:
+            ORACLES[name] = untied(f"with {CTES} {sql}" if star else sql)
+        return f
+
+    return register
+
+
+def untied(sql: str) -> str:
+    """The SQL with NUDGE added to what is rounded."""
+    out, at = [], 0
+    while (k := sql.find("round(", at)) >= 0:
+        depth, end = 1, k + 6
+        while depth:
+            depth += {"(": 1, ")": -1}.get(sql[end], 0)
+            end += 1
+        inner = sql[k + 6 : end - 1]
+        out += [sql[at:k], f"round(({untied(inner.rpartition(', 6')[0])}) + {NUDGE}, 6)"]
+        at = end
+    return "".join([*out, sql[at:]])
+
+
+#: Engines part on how they round halves; figures with six digits often end in one. Both sides shift by this.
+NUDGE = 1e-9
+
+
+def rounded(df: DataFrame, *columns: str) -> DataFrame:
+    return df.withColumns({c: F.round(F.col(c) + NUDGE, 6) for c in columns})
+
+
+def _scaling(s: Star) -> DataFrame:
+    return matrix.solve_levels(s.roots, s.tech, DEPTH)
+
+
+def _inventory(s: Star) -> DataFrame:
+    return matrix.inventory(s.bio, _scaling(s))
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+
+def _weights(s: Star) -> DataFrame:
+    return impact.effective_factors(s.flows, s.factors, units.from_rows(s.spark))
+
+
+def _scores(s: Star) -> DataFrame:
+    return impact.scores(_inventory(s), _weights(s))
+
+
+#: Factors with their unit conversion, as the oracle states it.
+_W = """weights as (select f.method, f.flow_id, f.cf * case when g.unit = f.cf_unit then 1.0 when g.unit = 'g' and f.cf_unit = 'kg' then 0.001 when g.unit = 'm3' and f.cf_unit = 'l' then 1000.0 else 1.0 end as w from factors f join flows g using (flow_id))"""
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/region.parquet")
+    return rounded(_scores(Star(spark, sf_dir)), "score")
+
+
+# ---- coefficient tables and solves ---------------------------------------------------------
+
+
+@query("mat_technosphere", "select sup, con, round(v, 6) as v from tech where abs(v) > 1e-15")
+def _(s: Star):
+    return rounded(matrix.technosphere(s.exchanges), "v")
+
+
+@query("mat_biosphere", "select flow_id, act_id, round(v, 6) as v from bio where abs(v) > 1e-15")
+def _(s: Star):
+    return rounded(matrix.biosphere(s.exchanges), "v")
+
+
+@query("agg_norm_factor", "select act_id, 1.0::double as norm from activities")
+def _(s: Star):
+    return matrix.norm_factors(s.exchanges)
+
+
+@query("mat_scaling_all_roots", "select root, act_id, round(x, 6) as x from scaling")
+def _(s: Star):
+    return rounded(_scaling(s), "x")
+
+
+@query("mat_demand", "select root, act_id, x from x0")
+def _(s: Star):
+    return s.roots.select("root", F.col("root").alias("act_id"), F.lit(1.0).alias("x"))
+
+
+@query("mat_spmv", "select root, sup, round(x, 6) as y from (select root, act_id as sup, x from x1)")
+def _(s: Star):
+    d = s.roots.select("root", F.col("root").alias("act_id"), F.lit(1.0).alias("x"))
+    return rounded(matrix.multiply(s.tech, d, "sup", "con"), "y")
+
+
+@query("mat_inventory", "select root, flow_id, round(q, 6) as q from inventory")
+def _(s: Star):
+    return rounded(_inventory(s), "q")
+
+
+@query("mat_solve_suppliers", ", s as (select 'S' || s_suppkey as root from supplier) select root, root as act_id, 1.0::double as x from s union all select root, sup, round(v, 6) from s join tech on con = root union all select root, b.sup, round(a.v * b.v, 6) from s join tech a on a.con = root join tech b on b.con = a.sup")
+def _(s: Star):
+    dep = s.tech.where("con like 'S%' or con like 'N%'")
+    return rounded(matrix.solve_blocks(s.table("supplier").selectExpr("concat('S', s_suppkey) as root"), dep), "x")
+
+
+@query("mat_activity_contribution", f", {_W}, per_unit as (select method, act_id, sum(v * w) as w from bio join weights using (flow_id) group by 1, 2) select root, method, act_id, round(x * w, 6) as contribution from scaling join per_unit using (act_id)")
+def _(s: Star):
+    return rounded(impact.activity_contributions(s.bio, _scaling(s), _weights(s)), "contribution")
+
+
+@query("mat_link_demands", "select root, 'dep' as source_db, sup, round(sum(x * v), 6) as amount from scaling join tech on con = act_id where con like 'P%' and sup like 'S%' group by 1, 3")
+def _(s: Star):
+    links = s.tech.where("con like 'P%'").selectExpr("con", "sup", "'dep' as source_db", "v as coefficient")
+    main = matrix.solve_levels(s.roots, s.tech.where("sup like 'P%'"), 1)
+    return rounded(matrix.link_demands(links, main, matrix.norm_factors(s.exchanges)), "amount")
+
+
+@query(
+    "mat_substitution",
+    """, newtech as (select sup, con, sum(v) as v from (select case when con like 'N%' then 'R0' else sup end as sup, con, v from tech) group by 1, 2),
+    y4 as (select root, sup as act_id, sum(x * v) as x from x3 join newtech on con = act_id group by 1, 2)
+    select root, act_id, round(x, 6) as x from y4""",
+)
+def _(s: Star):
+    changes = s.tech.where("con like 'N%' and sup != 'R0'").selectExpr("con", "sup as old", "'R0' as new")
+    found = matrix.solve_levels(s.roots, matrix.substitute(s.tech, changes), DEPTH)
+    return rounded(found.where("act_id like 'R%'"), "x")
+
+
+# ---- impacts --------------------------------------------------------------------------------
+
+
+@query("lca_scores", f", {_W} select root, method, round(sum(q * w), 6) as score from inventory join weights using (flow_id) group by 1, 2")
+def _(s: Star):
+    return rounded(_scores(s), "score")
+
+
+@query("lca_contributing_flows", f", {_W}, c as (select root, method, flow_id, q * w as contribution from inventory join weights using (flow_id) where q <> 0) select root, method, flow_id, round(contribution, 6) as contribution, round(case when sum(contribution) over p <> 0 then contribution / sum(contribution) over p * 100 else 0 end, 6) as share from c window p as (partition by root, method)")
+def _(s: Star):
+    return rounded(impact.contributions(_inventory(s), _weights(s)), "contribution", "share")
+
+
+@query("lca_effective_factors", f", {_W} select method, flow_id, round(w, 6) as weight, method = 'single' and flow_id = 'land' as conversion_failed from weights")
+def _(s: Star):
+    return rounded(_weights(s), "weight")
+
+
+@query("lca_normalised", f", {_W}, sc as (select root, method, sum(q * w) as score from inventory join weights using (flow_id) group by 1, 2) select root, method, round(score, 6) as score, case method when 'gwp' then round(score * 0.125, 6) when 'single' then round(score * 2.0, 6) end as normalized, case method when 'gwp' then round(score * 0.125 * 0.25, 6) when 'single' then round(score * 2.0 * 0.5, 6) end as weighted from sc")
+def _(s: Star):
+    sets = s.spark.createDataFrame([("gwp", 0.125, 0.25), ("single", 2.0, 0.5)], "method string, n double, w double")
+    return rounded(impact.normalised(_scores(s), sets), "score", "normalized", "weighted")
+
+
+@query("srt_top_activities", f", {_W}, per_unit as (select method, act_id, sum(v * w) as w from bio join weights using (flow_id) group by 1, 2), c as (select root, method, act_id, round(x * w, 6) as contribution from scaling join per_unit using (act_id)), r as (select *, row_number() over (partition by root, method order by abs(contribution) desc, act_id) as place from c) select * from r where place <= 10")
+def _(s: Star):
+    rows = rounded(impact.activity_contributions(s.bio, _scaling(s), _weights(s)), "contribution")
+    return impact.top(rows, ["root", "method"], "contribution", "act_id", 10)
+
+
+@query("srt_top_factors", ", r as (select *, row_number() over (partition by method order by abs(cf) desc, flow_id) as place from factors) select * from r where place <= 50")
+def _(s: Star):
+    return impact.top(s.factors, ["method"], "cf", "flow_id", 50)
+
+
+@query("agg_inventory_statistics", ", i as (select root, q, category, lower(category) like 'natural resource%' or lower(category) like 'resource%' as resource from inventory join flows using (flow_id) where q <> 0) select root, count(*) filter (not resource) as emissions, count(*) filter (resource) as resources, round(sum(abs(q)), 6) as total, round(coalesce(sum(q) filter (not resource and q > 0), 0), 6) as emitted, round(coalesce(sum(abs(q)) filter (resource), 0), 6) as extracted from i group by 1")
+def _(s: Star):
+    rows = _inventory(s).where("q != 0").join(s.flows.select("flow_id", "category"), "flow_id")
+    resource = F.lower("category").startswith("natural resource") | F.lower("category").startswith("resource")
+    found = rows.groupBy("root").agg(
+        F.count_if(~resource).alias("emissions"), F.count_if(resource).alias("resources"), F.sum(F.abs("q")).alias("total"),
+        F.coalesce(F.sum(F.when(~resource & (F.col("q") > 0), F.col("q"))), F.lit(0.0)).alias("emitted"), F.coalesce(F.sum(F.when(resource, F.abs("q"))), F.lit(0.0)).alias("extracted"),
+    )
+    return rounded(found, "total", "emitted", "extracted")
+
+
+# ---- walks -----------------------------------------------------------------------------------
+
+
+@query("grf_depths", "select root, act_id, min(d) as depth from (select root, act_id, 0 as d from x0 union all select root, act_id, 1 from x1 union all select root, act_id, 2 from x2 union all select root, act_id, 3 from x3 union all select root, act_id, 4 from x4) group by 1, 2")
+def _(s: Star):
+    return graph.walk(s.roots, s.tech, "con", "sup", DEPTH)
+
+
+@query("grf_supply_chain", ", d as (select root, act_id, min(d) as depth from (select root, act_id, 1 as d from x1 union all select root, act_id, 2 from x2 union all select root, act_id, 3 from x3 union all select root, act_id, 4 from x4) group by 1, 2), u as (select root, sup as act_id, count(*) as consumers from scaling join tech on con = act_id where x <> 0 group by 1, 2) select s.root, s.act_id, a.name, a.location, round(s.x, 6) as quantity, d.depth, coalesce(u.consumers, 0) as consumers from scaling s join activities a using (act_id) join d using (root, act_id) left join u using (root, act_id) where abs(s.x) > 0 and s.root <> s.act_id")
+def _(s: Star):
+    depths = graph.walk(s.roots, s.tech, "con", "sup", DEPTH)
+    return rounded(graph.supply_chain(_scaling(s), depths, s.activities, s.tech), "quantity")
+
+
+@query("grf_consumers", ", s as (select act_id as root, act_id from activities where act_id like 'R%' or act_id like 'N%'), c1 as (select distinct root, con as act_id from s join tech on sup = act_id), c2 as (select distinct root, con as act_id from c1 join tech on sup = act_id), c3 as (select distinct root, con as act_id from c2 join tech on sup = act_id) select root, act_id, min(d) as depth from (select root, act_id, 0 as d from s union all select root, act_id, 1 from c1 union all select root, act_id, 2 from c2 union all select root, act_id, 3 from c3) group by 1, 2")
+def _(s: Star):
+    roots = s.activities.where("act_id like 'R%' or act_id like 'N%'").select(F.col("act_id").alias("root"))
+    return graph.walk(roots, s.tech, "sup", "con", 3)
+
+
+@query("grf_cutoff_nodes", ", t as (select *, sum(abs(x)) over (partition by root) as total from scaling) select root, act_id, round(x, 6) as x from t where abs(x) > total * 1.0 / 100 or act_id = root")
+def _(s: Star):
+    return rounded(graph.cutoff_nodes(_scaling(s)), "x")
+
+
+@query("grf_cutoff_edges", ", t as (select *, sum(abs(x)) over (partition by root) as total from scaling), k as (select root, act_id from t where abs(x) > total * 1.0 / 100 or act_id = root) select a.root, t.sup, t.con, round(t.v, 6) as v from k a join tech t on t.con = a.act_id join k b on b.root = a.root and b.act_id = t.sup")
+def _(s: Star):
+    return rounded(graph.cutoff_edges(graph.cutoff_nodes(_scaling(s)), s.tech), "v")
+
+
+@query("grf_tree_filter", ", h as (select root, act_id from x3 join activities using (act_id) where name like '%A%' and act_id like 'N%'), p2 as (select distinct h.root, t.con as act_id from h join tech t on t.sup = h.act_id join x2 using (root) where x2.act_id = t.con), p1 as (select distinct p2.root, t.con as act_id from p2 join tech t on t.sup = p2.act_id join x1 on x1.root = p2.root and x1.act_id = t.con), p0 as (select distinct root, root as act_id from p1) select * from h union select * from p2 union select * from p1 union select * from p0")
+def _(s: Star):
+    hits = s.activities.where("act_id like 'N%' and name like '%A%'").select("act_id")
+    nodes = graph.walk(s.roots, s.tech, "con", "sup", 3)
+    return graph.ancestors(nodes, s.tech, hits, 3)
+
+
+# ---- aggregation -----------------------------------------------------------------------------
+
+
+def _direct_rows(s: Star) -> DataFrame:
+    target = s.activities.select(F.col("act_id").alias("link"), F.col("name").alias("target_name"), "location", "classes")
+    rows = s.exchanges.where("kind = 'technosphere'").join(target, "link", "left")
+    return rows.select(F.col("act_id").alias("root"), F.col("flow_id").alias("name"), "flow_id", "unit", F.col("amount").alias("quantity"), "is_input", "is_reference", "kind", "target_name", "location", "classes")
+
+
+@query("agg_direct_by_target", "select t.con as root, coalesce(a.name, '') as key, round(sum(x.amount), 6) as quantity, count(*) as rows, 'kg' as unit, round(sum(x.amount) / t.total, 6) as share from (select 'O' || l_orderkey as con, 'P' || l_partkey as link, l_quantity / 100 as amount from lineitem) x join activities a on a.act_id = x.link join (select 'O' || l_orderkey as con, sum(l_quantity / 100) as total from lineitem group by 1) t on t.con = x.con group by t.con, a.name, t.total")
+def _(s: Star):
+    rows = aggregate.keep(_direct_rows(s).where("root like 'O%'"), is_input=True, is_reference=False, kind="technosphere")
+    return rounded(aggregate.reduce(rows, "target_name"), "quantity", "share")
+
+
+@query("agg_supply_by_location", ", g as (select root, location as key, sum(x) as quantity, count(*) as rows from scaling join activities using (act_id) where root <> act_id group by 1, 2) select root, key, round(quantity, 6) as quantity, rows, 'kg' as unit, round(case when sum(quantity) over p <> 0 then quantity / sum(quantity) over p else 0 end, 6) as share from g window p as (partition by root)")
+def _(s: Star):
+    a = s.activities.select("act_id", "name", "location", "unit", "classes")
+    rows = _scaling(s).where("root != act_id").join(a, "act_id").withColumnRenamed("x", "quantity")
+    return rounded(aggregate.reduce(rows, "location"), "quantity", "share")
+
+
+@query("agg_biosphere_by_unit", ", g as (select root, unit as key, sum(q) as quantity, count(*) as rows from inventory join flows using (flow_id) group by 1, 2) select root, key, round(quantity, 6) as quantity, rows, key as unit, round(case when sum(quantity) over p <> 0 then quantity / sum(quantity) over p else 0 end, 6) as share from g window p as (partition by root)")
+def _(s: Star):
+    rows = _inventory(s).join(s.flows.select("flow_id", "name", "unit"), "flow_id").withColumnRenamed("q", "quantity")
+    return rounded(aggregate.reduce(rows, "unit"), "quantity", "share")
+
+
+@query("agg_classification_brand", "select count(*) as n, p_brand as value from part group by p_brand", star=False)
+def _(s: Star):
+    return s.activities.where("act_id like 'P%'").select(F.explode("classes").alias("system", "value")).where("system = 'brand'").groupBy("value").agg(F.count("*").alias("n"))
+
+
+@query("agg_classifications", "select system, count(distinct value) as distinct_values, count(*) as n from (select 'status' as system, o_orderstatus as value from orders union all select 'brand', p_brand from part union all select 'type', p_type from part union all select 'nation', n_name from supplier join nation on s_nationkey = n_nationkey union all select 'level', 'nation' from nation union all select 'level', 'region' from region) group by 1", star=False)
+def _(s: Star):
+    rows = s.activities.select(F.explode("classes").alias("system", "value"))
+    return rows.groupBy("system").agg(F.count_distinct("value").alias("distinct_values"), F.count("*").alias("n"))
+
+
+@query("agg_flow_usage", "select flow_id, count(*) as uses from (select 'P' || l_partkey as flow_id from lineitem union all select 'P' || p_partkey from part union all select 'co2' from part union all select 'ch4' from orders) group by 1", star=False)
+def _(s: Star):
+    return s.exchanges.where("flow_id like 'P%' or flow_id in ('co2', 'ch4')").groupBy("flow_id").agg(F.count("*").alias("uses"))
+
+
+@query("agg_unlinked", "select 'O' || o_orderkey as act_id from orders where o_orderkey not in (select l_orderkey from lineitem)", star=False)
+def _(s: Star):
+    linked = s.exchanges.where("is_input and link is not null").select("act_id").distinct()
+    return s.roots.select(F.col("root").alias("act_id")).join(linked, "act_id", "left_anti")
+
+
+# ---- lookups, filters, windows ---------------------------------------------------------------
+
+
+@query("prj_exchange_details", "select 'O' || l_orderkey as act_id, l_linenumber as seq, 'P' || l_partkey as link, p_name as target_name, round(l_quantity / 100, 6) as amount from lineitem join part on l_partkey = p_partkey", star=False)
+def _(s: Star):
+    target = s.activities.select(F.col("act_id").alias("link"), F.col("name").alias("target_name"))
+    return rounded(s.exchanges.where("act_id like 'O%' and is_input").join(target, "link").select("act_id", "seq", "link", "target_name", "amount"), "amount")
+
+
+@query("prj_reference_product", "select act_id, act_id as product, 1.0::double as amount, unit from activities")
+def _(s: Star):
+    first = F.min_by(F.struct("flow_id", "amount", "unit"), "seq")
+    found = s.exchanges.where("is_reference").groupBy("act_id").agg(first.alias("r"))
+    return s.activities.select("act_id").join(found, "act_id", "left").select("act_id", F.coalesce("r.flow_id", F.lit("")).alias("product"), F.coalesce("r.amount", F.lit(1.0)).alias("amount"), F.coalesce("r.unit", F.lit("")).alias("unit"))
+
+
+@query("prj_flow_activities", "select distinct 'P' || l_partkey as flow_id, 'O' || l_orderkey as act_id from lineitem", star=False)
+def _(s: Star):
+    return s.exchanges.where("is_input and flow_id like 'P%'").select("flow_id", "act_id").distinct()
+
+
+@query("prj_geographies", "select location, count(*) as activities from activities group by 1")
+def _(s: Star):
+    return s.activities.groupBy("location").agg(F.count("*").alias("activities"))
+
+
+@query("flt_words_all", "select p_partkey from part where contains(lower(p_name || ' ' || p_type), 'b') and contains(lower(p_name || ' ' || p_type), 'st')", star=False)
+def _(s: Star):
+    return s.table("part").where(T.contains_words([F.concat_ws(" ", "p_name", "p_type")], F.lit("B st"))).select("p_partkey")
+
+
+@query("flt_classes", "select 'P' || p_partkey as act_id from part where (lower(p_brand) = 'brand#1' or contains(lower(p_brand), '3')) and contains(lower(p_type), 'e')", star=False)
+def _(s: Star):
+    return s.activities.where("act_id like 'P%'").where(aggregate.match_classes([("brand", "Brand#1", True), ("brand", "3", False), ("type", "E", False)])).select("act_id")
+
+
+@query("flt_resources", "select flow_id, lower(category) like 'natural resource%' or lower(category) like 'resource%' as resource from flows")
+def _(s: Star):
+    c = F.lower("category")
+    return s.flows.select("flow_id", (c.startswith("natural resource") | c.startswith("resource")).alias("resource"))
+
+
+@query("win_dense_key", "select act_id, row_number() over (partition by db order by act_id) - 1 as pid from activities")
+def _(s: Star):
+    return s.activities.select("act_id", (F.row_number().over(Window.partitionBy("db").orderBy("act_id")) - 1).alias("pid"))
+
+
+@query("win_share", "select 'O' || o_orderkey as act_id, round(o_totalprice / sum(o_totalprice) over (partition by o_custkey) * 100, 6) as share from orders", star=False)
+def _(s: Star):
+    total = F.sum("o_totalprice").over(Window.partitionBy("o_custkey"))
+    return s.table("orders").select(F.concat(F.lit("O"), "o_orderkey").alias("act_id"), F.round(F.col("o_totalprice") / total * 100 + NUDGE, 6).alias("share"))
+
+
+@query("jon_explicit_links", "select 'O' || l_orderkey as act_id, l_linenumber as seq, 'P' || p_partkey as supplier from lineitem left join part on l_partkey = p_partkey", star=False)
+def _(s: Star):
+    known = s.activities.select(F.col("act_id").alias("supplier"))
+    return s.exchanges.where("act_id like 'O%' and is_input").join(known, F.col("link") == F.col("supplier"), "left").select("act_id", "seq", "supplier")
+
+
+@query("jon_compare_activities", ", a as (select sup, v from tech where con = 'P1'), b as (select sup, v from tech where con = 'P2') select coalesce(a.sup, b.sup) as key, round(coalesce(a.v, 0) - coalesce(b.v, 0), 6) as delta, case when a.sup is null then 'right_only' when b.sup is null then 'left_only' else 'matched' end as side from a full join b on a.sup = b.sup")
+def _(s: Star):
+    a, b = (s.tech.where(F.col("con") == p).select(F.col("sup").alias(f"{p}_key"), F.col("v").alias(p)) for p in ("P1", "P2"))
+    both = a.join(b, F.col("P1_key") == F.col("P2_key"), "full")
+    side = F.when(F.col("P1_key").isNull(), "right_only").when(F.col("P2_key").isNull(), "left_only").otherwise("matched")
+    return both.select(F.coalesce("P1_key", "P2_key").alias("key"), F.round(F.coalesce("P1", F.lit(0.0)) - F.coalesce("P2", F.lit(0.0)) + NUDGE, 6).alias("delta"), side.alias("side"))
+
+
+# ---- text ------------------------------------------------------------------------------------
+
+
+@query("str_normalize_name", r'''select p_partkey, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(trim(regexp_replace(lower(p_name || ' (' || p_type || '), in ground'), '\s+', ' ', 'g')), ' in ground$', ''), ', in ground$', ''), '/kg$', ''), '[,()"]', '', 'g'), '\s+', ' ', 'g')) as key from part''', star=False)
+def _(s: Star):
+    return s.table("part").select("p_partkey", T.normalize_name(F.concat("p_name", F.lit(" ("), "p_type", F.lit("), in ground"))).alias("key"))
+
+
+@query("str_name_prefix", r"select p_partkey, trim(regexp_extract(p_name || ', ' || p_type, '^[^,{(]*', 0)) as key from part", star=False)
+def _(s: Star):
+    return s.table("part").select("p_partkey", T.name_prefix(F.concat("p_name", F.lit(", "), "p_type")).alias("key"))
+
+
+@query("str_trigrams", "select p_partkey, list_sort(list_distinct([substr(lower(p_type), i, 3) for i in range(1, length(p_type) - 1)])) as grams from part", star=False)
+def _(s: Star):
+    return s.table("part").select("p_partkey", F.array_sort(T.trigrams(F.lower("p_type"))).alias("grams"))
+
+
+@query("str_slug", "select s_suppkey, regexp_replace(regexp_replace(lower(s_name), '[^a-z0-9_-]+', '-', 'g'), '^-+|-+$', '', 'g') as slug from supplier", star=False)
+def _(s: Star):
+    return s.table("supplier").select("s_suppkey", T.slug(F.col("s_name")).alias("slug"))
+
+
+@query("str_levenshtein", "select a.n_name as a, b.n_name as b, levenshtein(a.n_name, b.n_name) as distance from nation a join nation b on a.n_regionkey = b.n_regionkey", star=False)
+def _(s: Star):
+    a = s.table("nation").selectExpr("n_name as a", "n_regionkey")
+    b = s.table("nation").selectExpr("n_name as b", "n_regionkey")
+    return a.join(b, "n_regionkey").select("a", "b", F.levenshtein("a", "b").alias("distance"))
+
+
+@query("unit_conversion", "select l_orderkey, l_linenumber, round(l_quantity * 0.45359237, 6) as kg, cast(null as double) as metres from lineitem", star=False)
+def _(s: Star):
+    defs = units.from_rows(s.spark)
+    rows = s.table("lineitem").select("l_orderkey", "l_linenumber", "l_quantity", F.lit("lb").alias("a"), F.lit("kg").alias("b"), F.lit("m").alias("c"))
+    rows = units.with_conversion(rows, defs, "l_quantity", "a", "b", "kg")
+    return rounded(units.with_conversion(rows, defs, "l_quantity", "a", "c", "metres"), "kg").select("l_orderkey", "l_linenumber", "kg", "metres")
+
+
+# ---- search ----------------------------------------------------------------------------------
+
+_WORDS = r"words as materialized (select doc_id, unnest(string_split(trim(regexp_replace(translate(lower(text), 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy'), '[^\p{L}\p{N}]+', ' ', 'g')), ' ')) as term from documents), post as materialized (select doc_id, term, count(*) as tf from words where term <> '' group by 1, 2)"
+
+
+def _texts(s: Star) -> DataFrame:
+    return s.table("documents").select(F.col("doc_id").alias("doc"), "text")
+
+
+@query("sch_document_statistics", f"with {_WORDS} select doc_id as doc, sum(tf) as dl from post group by 1", star=False)
+def _(s: Star):
+    return search.index(_texts(s))[1]
+
+
+@query(
+    "sch_bm25",
+    f"""with {_WORDS}, q as (select item_id as query, term from (select item_id, unnest(string_split(trim(regexp_replace(translate(lower(text), 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy'), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')), ' ')) as term from benchmark) where term <> '' group by 1, 2),
+    df as (select term, count(*) as df from post group by 1), dl as (select doc_id, sum(tf) as dl from post group by 1), st as (select (select count(*) from documents) as n, (select sum(dl) from dl) / (select count(*) from documents) as mean)
+    select query, doc_id as doc, round(sum(ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / mean))), 6) as score from post join q using (term) join df using (term) join dl using (doc_id), st group by 1, 2""",
+    star=False,
+)
+def _(s: Star):
+    docs = _texts(s)
+    postings, lengths = search.index(docs)
+    terms = s.table("benchmark").select(F.col("item_id").alias("query"), F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("term"), F.lit(1.0).alias("weight"))
+    return rounded(search.bm25(postings, lengths, terms, search.document_statistics(docs, lengths)), "score")
