@@ -42,6 +42,8 @@ TEMPLATES = {
     "copyright:notice": "Copyright. All rights reserved.",
 }
 
+#: For bounds that a rounded division meets exactly.
+_SLACK = 1e-9
 _WORD = re.compile(r"[^\W_]+")
 _LINE = re.compile(r"[^\n]+")
 _PARAGRAPH = re.compile(r"[^\n]+(?:\n[^\n]+)+")
@@ -59,7 +61,7 @@ class Matcher:
         self.threshold = threshold
         self.templates = [(name, bigrams(text)) for name, text in templates.items()]
         self.templates = [(n, b) for n, b in self.templates if b]
-        self.bounds = [(n, b, len(b) * threshold / (2 - threshold), len(b) * (2 - threshold) / threshold) for n, b in self.templates]
+        self.bounds = [(n, b, len(b) * threshold / (2 - threshold) - _SLACK, len(b) * (2 - threshold) / threshold + _SLACK) for n, b in self.templates]
         self.least = min((lo for *_, lo, _ in self.bounds), default=0)
         self.anchors = re.compile("|".join(sorted({re.escape(a) for _, b in self.templates for a in self._anchors(b)})) or r"(?!)", re.I)
 
@@ -70,7 +72,7 @@ class Matcher:
         many bigrams hold and few other texts do come first: long ones, in ASCII.
         """
         rest, chosen = set(own), []
-        while rest and 2 * len(rest) / (len(rest) + len(own)) >= self.threshold:
+        while rest and 2 * len(rest) / (len(rest) + len(own)) >= self.threshold - _SLACK:
             words = {w for pair in rest for w in pair if w.isascii()} or {w for pair in rest for w in pair}
             best = max(words, key=lambda w: (len(w) >= 7, len(w) * sum(w in pair for pair in rest), w))
             chosen.append(best)
