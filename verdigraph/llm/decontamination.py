@@ -43,6 +43,8 @@ COVER = 0.4
 SHARE, WHOLE, ANSWER = 0.6, 0.9, 0.5
 #: Terms in more than this share of documents don't retrieve; they count in confirmation.
 COMMON = 0.05
+#: But where the others hold less than this share of a passage's weight (it leaked into many documents), all its terms retrieve.
+RETRIEVING = 0.6
 
 
 #: ASCII punctuation becomes white space.
@@ -162,8 +164,9 @@ def prepare(docs: DataFrame, benchmark: DataFrame) -> Iterator[Query]:
                 df, n = _document_frequency(docs, vocabulary)
                 idf = np.log((n + 1) / (df + 1)).astype(np.float32) + np.float32(1e-3)
                 weight = np.where(df > max(COMMON * n, 3), 0, idf).astype(np.float32)
-                if not weight.any():
-                    weight = idf
+                for w in words:
+                    if weight[w].sum() < RETRIEVING * idf[w].sum():
+                        weight[w] = idf[w]
                 space = _latent_space(docs.sparkSession, words, weight)
                 basis = weight[:, None] * space
                 latent = np.stack([basis[w].sum(0) for w in words])
@@ -274,9 +277,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs that hold no item, with their columns."""
-    out = docs
+    out, names = docs, docs.columns
     for query in prepare(docs, benchmark):
-        rows = out.select(*[F.col(f"`{c}`") for c in docs.columns], F.col("text").cast("string").alias("vg_text"))
+        rows = out.select(*[F.col(f"`{c}`") for c in names], F.col("text").cast("string").alias("vg_text"))
 
         def keep(batches: Iterator[pa.RecordBatch], query=query) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -286,7 +289,7 @@ def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                     for hit in search(query, texts.slice(a, b - a)):
                         stays[a + hit[0]] = False
                 left = batch.filter(pa.array(stays))
-                yield pa.RecordBatch.from_arrays(left.columns[:-1], names=docs.columns)
+                yield pa.RecordBatch.from_arrays(left.columns[:-1], names=names)
 
         out = rows.mapInArrow(keep, docs.schema)
     return out
