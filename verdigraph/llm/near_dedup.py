@@ -7,12 +7,11 @@ ROWS coordinates deal the texts into buckets; two texts of similarity 0.75 miss
 in all of them with probability (1 - 0.75^ROWS)^BANDS, about 5e-6.
 
 Pairs of a bucket are confirmed on the full shingle sets, but not all are formed. Texts with
-equal sets are one class from the start. Round 0 confirms each member against its bucket's
-smallest; classes that hang together already are not compared again. A bucket whose members
-still lie in several components goes on: up to SMALL members, the pairs across components
-are confirmed; a larger one is split by the members' other bands, since a linked pair shares
-about eleven bands, and each part is treated the same way, four rounds deep. What then still
-is large and mixed is compared pair by pair, so that no link is given up.
+equal sets are one class from the start. Each member is compared with its bucket's smallest,
+in the first bands and then, where it isn't in one component with it yet, in the others. For the members of buckets that still lie in several
+components, all similar pairs across components are found by an exact prefix filter on their
+full sets, so that no link between different texts is given up and no group's pairs are
+all formed.
 
 Defined results: a text without words (or null) has an empty set and is linked with nothing;
 a text of one to four words has one shingle, its whole sequence; a null doc_id is never
@@ -34,8 +33,12 @@ from .common import Scratch, flat, mix64, slices, words_of
 
 WORDS = 5
 ROWS, BANDS = 5, 45
-SMALL = 24
-ROUNDS = 4
+#: Bands that are compared before the others.
+FIRST = 9
+#: Shingle places that are counted for the prefix filter's order, and what makes one crowded.
+CELLS, CROWD = 22, 24
+#: Places of the set of doc_ids that is sent to the texts: 2^IDS bits.
+IDS = 24
 #: 100 * intersection >= PERCENT * union
 PERCENT = 75
 
@@ -150,6 +153,97 @@ def components(edges: DataFrame, scratch: Scratch, label: str) -> DataFrame:
     return at.selectExpr("u as id", "v as comp")
 
 
+def _sizes(a: str, b: str) -> str:
+    """SQL: sets of these sizes can be similar enough."""
+    return f"100 * least({a}, {b}) >= {PERCENT} * greatest({a}, {b})"
+
+
+def _mixed(buckets: DataFrame, comps: DataFrame, least: int) -> DataFrame:
+    """Members (id, n, key, comp, pivot) of the buckets of so many members that lie in several components."""
+    named = buckets.select("id", "n", "key").join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+    mixed = named.groupBy("key").agg(F.count("*").alias("members"), F.min(F.struct("id", "n", "comp")).alias("pivot"), F.min("comp").alias("c1"), F.max("comp").alias("c2"))
+    return named.join(mixed.where(f"members >= {least} and c1 != c2").select("key", "pivot"), "key")
+
+
+def _sets_of(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id, set) of the texts with these doc_ids, and of a few more.
+
+    The ids go to the texts as a set of 2^IDS places, so that texts needn't be shuffled; a
+    place may stand for several ids.
+    """
+    place = f"(id ^ shiftright(id, {IDS}) ^ shiftright(id, {2 * IDS})) & {2**IDS - 1}"
+    words = ids.selectExpr(f"{place} as p").selectExpr("cast(shiftright(p, 6) as int) as k", "shiftleft(1L, cast(p & 63 as int)) as bit").groupBy("k").agg(F.bit_or("bit").alias("bits")).collect()
+    wanted = np.zeros(2**IDS // 64, np.int64)
+    for w in words:
+        wanted[w.k] = w.bits
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            i = batch.column(0).fill_null(0).to_numpy(zero_copy_only=False)
+            p = (i ^ (i >> IDS) ^ (i >> (2 * IDS))) & (2**IDS - 1)
+            keep = ((wanted[p >> 6] >> (p & 63)) & 1).astype(bool) & batch.column(0).is_valid().to_numpy(zero_copy_only=False)
+            if keep.any():
+                yield from _sets(iter([batch.filter(pa.array(keep))]))
+
+    return rows.mapInArrow(sets, "id long, set binary")
+
+
+def _confirm(pairs: DataFrame, rows: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """The pairs (a, b) whose full sets are similar enough."""
+    sets = scratch.save(_sets_of(rows, pairs.selectExpr("explode(array(a, b)) as id").distinct()), name)
+    held = pairs.join(sets.selectExpr("id as a", "set as sa"), "a").join(sets.selectExpr("id as b", "set as sb"), "b")
+    return held.select("a", "b", "sa", "sb").mapInArrow(_linked, "a long, b long")
+
+
+def _prefix_pairs(sets: DataFrame, left: DataFrame) -> DataFrame:
+    """All pairs (a, b) across components that can be similar enough, by the prefix filter.
+
+    With all sets in one order, similar sets of n shingles share one of their first
+    n - ceil(n * PERCENT / 100) + 1, and, as the two sizes settle how many they must share,
+    one whose places in both sets leave enough behind it. Shingles of crowded places come last in that order, so
+    that a passage which many texts share pairs only texts that hold little else.
+    """
+    places = 2**CELLS
+    cells = sets.mapInArrow(_cells, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n"))
+    total = cells.agg(F.sum("n").alias("n")).first().n or 0
+    busy = cells.where(F.col("n") >= max(CROWD, 4 * total / places))
+    words = busy.selectExpr("cast(shiftright(cell, 6) as int) as k", "shiftleft(1L, cell & 63) as bit").groupBy("k").agg(F.bit_or("bit").alias("bits")).collect()
+    crowded = np.zeros(places // 64, np.int64)  # the places' bit set: no more than 2^CELLS bits
+    for w in words:
+        crowded[w.k] = w.bits
+
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, sizes = [], []
+            for x in batch.column(1):
+                found = np.frombuffer(x.as_py(), np.uint64)
+                at = (found & np.uint64(places - 1)).astype(np.int64)
+                late = (crowded[at >> 6] >> (at & 63)) & 1
+                need = -(-len(found) * PERCENT // 100)
+                keys.append(found[np.lexsort((found, late))[: len(found) - need + 1]].view(np.int64) if len(found) else [])
+                sizes.append(len(found))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["id", "n", "keys"])
+
+    rows = sets.mapInArrow(prefixes, "id long, n long, keys array<bigint>").join(left, "id").select("id", "n", "comp", F.posexplode("keys").alias("at", "key"))
+    mixed = rows.groupBy("key").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2")).where("c1 != c2").select("key")
+    rows = rows.join(mixed, "key", "left_semi")
+    a, b = rows.selectExpr("key", "id as a", "n as na", "comp as ca", "at as pa"), rows.selectExpr("key", "id as b", "n as nb", "comp as cb", "at as pb")
+    need = f"({PERCENT} * (na + nb) + {PERCENT + 99}) div {PERCENT + 100}"  # shared shingles of a similar pair, rounded up
+    near = f"a < b and ca != cb and {_sizes('na', 'nb')} and pa <= na - {need} and pb <= nb - {need}"
+    return a.join(b, "key").where(near).select("a", "b").distinct()
+
+
+def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many shingles fall into each of 2^CELLS places."""
+    count = np.zeros(2**CELLS, np.int64)
+    for batch in batches:
+        for x in batch.column(1):
+            at = (np.frombuffer(x.as_py(), np.uint64) & np.uint64(2**CELLS - 1)).astype(np.int64)
+            np.add.at(count, at, 1)
+    at = np.flatnonzero(count)
+    yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(count[at])], names=["cell", "n"])
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of docs (doc_id, text)."""
     spark = docs.sparkSession
@@ -165,65 +259,34 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     tied = full.groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1").select("doc_id")
     tied = full.join(tied, "doc_id").join(classes, ["h1", "h2"]).selectExpr("doc_id as a", "rep as b").where("a != b")
 
-    buckets = scratch.save(heads.select("id", "n", F.explode("keys").alias("key")), "buckets-0")
-    shared = buckets.groupBy("key").agg(F.count("*").alias("members"), F.min("id").alias("pivot")).where("members > 1")
-    buckets = scratch.save(buckets.join(shared, "key"), "buckets-1")
-    scratch.drop("buckets-0")
-
-    edges, tested, sets = [scratch.save(tied, "edges-tied")], [], None
-    comps = None
-    for level in range(ROUNDS + 1):
-        last = level == ROUNDS
-        pairs = []
-        if not last:
-            star = buckets.selectExpr("pivot as a", "id as b").where("a != b")
-            sized = star.join(heads.selectExpr("id as a", "n as na"), "a").join(heads.selectExpr("id as b", "n as nb"), "b")
-            pairs.append(sized.where(f"100 * least(na, nb) >= {PERCENT} * greatest(na, nb)").select("a", "b"))
-        if level:
-            some = buckets if last else buckets.where(f"members <= {SMALL}")
-            left, right = some.selectExpr("key", "id as a", "n as na", "comp as ca"), some.selectExpr("key", "id as b", "n as nb", "comp as cb")
-            pairs.append(left.join(right, "key").where(f"a < b and ca != cb and 100 * least(na, nb) >= {PERCENT} * greatest(na, nb)").select("a", "b"))
-        fresh = pairs[0]
-        for p in pairs[1:]:
-            fresh = fresh.union(p)
-        fresh = fresh.selectExpr("least(a, b) as a", "greatest(a, b) as b").distinct()
-        for t in tested:
-            fresh = fresh.join(t, ["a", "b"], "left_anti")
-        fresh = scratch.save(fresh, f"pairs-{level}")
-        tested.append(fresh)
-        if not fresh.isEmpty():
-            wanted = fresh.selectExpr("explode(array(a, b)) as doc_id").distinct()
-            texts = rows.join(wanted, "doc_id", "left_semi")
-            sets = scratch.save(texts.mapInArrow(_sets, "id long, set binary"), f"sets-{level}")
-            held = fresh.join(sets.selectExpr("id as a", "set as sa"), "a").join(sets.selectExpr("id as b", "set as sb"), "b").select("a", "b", "sa", "sb")
-            edges.append(scratch.save(held.mapInArrow(_linked, "a long, b long"), f"edges-{level}"))
-            scratch.drop(f"sets-{level}")
-        linked = edges[0]
-        for e in edges[1:]:
-            linked = linked.union(e)
-        comps = components(linked, scratch, f"comps-{level}")
-        if last:
-            break
-        # the buckets whose members lie in several components
-        named = buckets.drop("comp", "members", "pivot").join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-        mixed = named.groupBy("key").agg(F.count("*").alias("members"), F.min("id").alias("pivot"), F.min("comp").alias("c1"), F.max("comp").alias("c2"), F.min("n").alias("n1"), F.max("n").alias("n2"))
-        mixed = mixed.where(f"c1 != c2 and members > {2 if level == 0 else SMALL}").select("key", "members", "pivot")
-        left = scratch.save(named.join(mixed, "key"), f"mixed-{level}")
-        scratch.drop(f"buckets-{level + 1}")
-        if left.isEmpty():
-            break
-        if level + 1 == ROUNDS:
-            buckets = left
-            continue
-        small = left.where(f"members <= {SMALL}") if level == 0 else left.limit(0)
-        deeper = left.where(f"members > {SMALL}").join(heads.select("id", "keys"), "id")
-        deeper = deeper.selectExpr("id", "n", "comp", "key", "explode(keys) as other").where("other != key").selectExpr("xxhash64(least(key, other), greatest(key, other)) as key", "id", "n", "comp").distinct()
-        parts = deeper.groupBy("key").agg(F.count("*").alias("members"), F.min("id").alias("pivot"), F.min("comp").alias("c1"), F.max("comp").alias("c2")).where("c1 != c2").select("key", "members", "pivot")
-        deeper = deeper.join(parts, "key")
-        buckets = scratch.save(small.select("key", "id", "n", "comp", "members", "pivot").union(deeper.select("key", "id", "n", "comp", "members", "pivot")), f"buckets-{level + 2}")
+    rows_of = heads.select("id", "n", F.posexplode("keys").alias("band", "key"))
+    shared = rows_of.groupBy("key").agg(F.count("*").alias("members"), F.min(F.struct("id", "n")).alias("pivot")).where("members > 1")
+    buckets = scratch.save(rows_of.join(shared.select("key", "pivot"), "key"), "buckets")
+
+    # the first bands tie most groups together, so that the others' buckets need few comparisons
+    star = buckets.where(f"band < {FIRST} and id != pivot.id and {_sizes('n', 'pivot.n')}")
+    first = scratch.save(star.selectExpr("pivot.id as a", "id as b").distinct(), "pairs-0")
+    linked = scratch.save(tied.union(_confirm(first, rows, scratch, "sets-0")), "edges-0")
+    comps = components(linked, scratch, "comps-0")
+
+    mixed = _mixed(buckets, comps, 2)
+    star = mixed.where(f"comp != pivot.comp and {_sizes('n', 'pivot.n')}").selectExpr("pivot.id as a", "id as b").distinct()
+    second = scratch.save(star.join(first, ["a", "b"], "left_anti"), "pairs-1")
+    linked = scratch.save(linked.union(_confirm(second, rows, scratch, "sets-1")), "edges-1")
+    comps = components(linked, scratch, "comps-1")
+
+    # the members of buckets that still lie in several components
+    left = scratch.save(_mixed(buckets, comps, 3).select("id", "comp").distinct(), "left")
+    if not left.isEmpty():
+        sets = scratch.save(_sets_of(rows, left.select("id")), "sets-2")
+        third = scratch.save(_prefix_pairs(sets, left).join(first.union(second), ["a", "b"], "left_anti"), "pairs-2")
+        linked = scratch.save(linked.union(_confirm(third, rows, scratch, "sets-3")), "edges-2")
+        comps = components(linked, scratch, "comps-2")
 
     found = classes.join(comps.withColumnRenamed("id", "rep"), "rep", "left").select("h1", "h2", F.coalesce("comp", "rep").alias("component"))
     found = scratch.save(found, "found")
+    for name in ("heads", "buckets", "sets-0", "sets-1", "sets-2", "sets-3"):
+        scratch.drop(name)
     out = signed.drop("keys").join(found, ["h1", "h2"], "left")
     component = F.when(F.col("doc_id").isNull(), F.lit(None)).when(F.col("n") > 0, F.least("component", "doc_id")).otherwise(F.col("doc_id"))
     out = out.select("doc_id", F.col("n").alias("n_shingles"), component.cast("long").alias("component_id"))
