@@ -7,12 +7,12 @@ is bounded whatever the corpus' is; it travels as a set of 2^BITS places by term
 (terms outside the band that share a place count as inside, the same for every text).
 
 A text's terms in the lexicon are made distinct and sorted (by hash), and hashed once for
-each randomised sub-lexicon. Sub-lexicon (seed, level) keeps a random 2^-level of the lexicon,
-so that texts of any length have some sub-lexicons from which they have just a few terms:
-those stay equal when part of a text changes. The fingerprint is the list of hashes; one
-without terms is 0. The likeness of two fingerprints is the share of equal hashes among those
-where either has terms; without any it says whether the texts are equal, as a text
-without terms of the lexicon is its own single term.
+each of FAMILIES families of randomised sub-lexicons. A family's sub-lexicons halve from one
+to the next, as more low bits of a term's hash must agree with the family's pattern; a text
+is hashed by the smallest of them that has any of its terms, so that few terms decide each
+hash, whatever the text's length, and those far from a change stay equal. The likeness of two
+fingerprints is the share of equal hashes. A text without terms of the lexicon is its own
+single term; the empty text has none.
 
 Defined results: a null text is empty; null doc_ids come first; rows of equal doc_id are
 ordered by text and each is a document; a single document is its own next one; an empty
@@ -21,14 +21,16 @@ table gives an empty result; other columns are never read.
 
 from __future__ import annotations
 
+import random
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch
 
-BITS = 22
-RAREST, COMMONEST = 0.0005, 0.2
-SEEDS, LEVELS = 4, 12
+BITS = 18
+RAREST, COMMONEST = 0.01, 0.2
+FAMILIES = 16
 #: Documents in a range of doc_ids whose neighbours are found together.
 RANGE = 1500
 
@@ -41,7 +43,7 @@ def _terms(text: Column) -> Column:
 
 
 def _lexicon(rows: DataFrame) -> bytes:
-    """The band's terms: a byte for each of 2^BITS places, 1 where a term of the band is.
+    """The band's terms: a letter for each four of 2^BITS places, from a, whose low bits say where a term of the band is.
 
     Terms are counted over all documents; what comes to the driver are the set's words of 64
     places, 2^(BITS - 6) of them at most.
@@ -50,33 +52,44 @@ def _lexicon(rows: DataFrame) -> bytes:
     df = rows.select(F.explode(_terms(F.col("text"))).alias("t")).groupBy("t").agg(F.count("*").alias("df"))
     band = df.where((F.col("df") > RAREST * n) & (F.col("df") <= max(COMMONEST * n, 2)))
     place = band.selectExpr(f"t & {2**BITS - 1} as p").selectExpr("cast(shiftright(p, 6) as int) as k", "shiftleft(1L, cast(p & 63 as int)) as bit")
-    places = bytearray(2**BITS)
+    places = bytearray(b"a" * 2 ** (BITS - 2))
     for row in place.groupBy("k").agg(F.bit_or("bit").alias("bits")).collect():
-        for i in range(64):
-            places[row.k * 64 + i] = (row.bits >> i) & 1
+        for i in range(16):
+            places[row.k * 16 + i] += (row.bits >> (4 * i)) & 15
     return bytes(places)
 
 
 def _kept(text: Column, places: bytes) -> Column:
     """The text's sorted distinct terms in the lexicon; the whole text as one term if there are none."""
-    inside = F.lit(bytearray(places))
-    some = F.array_sort(F.filter(_terms(text), lambda h: F.substring(inside, (h.bitwiseAND(F.lit(2**BITS - 1)) + 1).cast("int"), F.lit(1)) == F.lit(bytearray(b"\x01"))))
+    table = F.lit(bytearray(places))
+
+    def inside(h: Column) -> Column:
+        place = h.bitwiseAND(F.lit(2**BITS - 1)).cast("int")
+        letter = F.substring(table, F.shiftright(place, 2) + 1, F.lit(1)).cast("string")
+        return F.getbit(F.ascii(letter) - 97, place.bitwiseAND(3)) == 1
+
+    some = F.array_sort(F.filter(_terms(text), inside))
     return F.transform(F.array(some), lambda k: F.when((F.size(k) > 0) | (text == ""), k).otherwise(F.array(F.xxhash64(text))))[0]
 
 
+def _patterns() -> list[int]:
+    """One for each family of sub-lexicons: random, but unlike in their low bits."""
+    bits = random.Random(6).getrandbits
+    return [(bits(58) << 5 | s << 1) % 2**63 for s in range(FAMILIES)]
+
+
 def _hashes(kept: str) -> str:
-    """SQL: one hash for each sub-lexicon, seed by seed; each level halves the one before."""
-    halve = "filter(acc.left, h -> shiftright(xxhash64(h, seed), level) & 1 = 1)"
-    one = "if(size(acc.left) = 0, 0L, xxhash64(acc.left, level))"
-    step = f"aggregate(sequence(1, {LEVELS}), named_struct('left', k, 'out', cast(array() as array<bigint>)), (acc, level) -> named_struct('left', {halve}, 'out', concat(acc.out, array({one}))), acc -> acc.out)"
-    return f"transform(array({kept}), k -> flatten(transform(sequence(1, {SEEDS}), seed -> {step})))[0]"
+    """SQL: one hash for each family, of the terms in its smallest sub-lexicon that has any of them."""
+    x = "shiftrightunsigned(h ^ c, 1)"
+    level = f"bit_count({x} ^ ({x} - 1))"
+    patterns = ", ".join(f"{c}L" for c in _patterns())
+    one = f"transform(array(array_max(transform(k, h -> {level}))), top -> xxhash64(top, filter(k, h -> {level} = top)))[0]"
+    return f"transform(array({kept}), k -> transform(array({patterns}), c -> if(size(k) = 0, 0L, {one})))[0]"
 
 
-def likeness(a: str, b: str, same: str) -> str:
-    """SQL: the share of equal hashes where either has terms."""
-    some = f"size(filter(zip_with({a}, {b}, (x, y) -> x != 0 or y != 0), f -> f))"
-    equal = f"size(filter(zip_with({a}, {b}, (x, y) -> x != 0 and x = y), f -> f))"
-    return f"case when {some} = 0 then if({same}, 1.0D, 0.0D) else cast({equal} as double) / {some} end"
+def likeness(a: str, b: str) -> str:
+    """SQL: the share of equal hashes."""
+    return f"cast(size(filter(zip_with({a}, {b}, (x, y) -> x = y), f -> f)) as double) / {FAMILIES}"
 
 
 def _with_next(rows: DataFrame, places: bytes, scratch: Scratch) -> DataFrame:
@@ -132,5 +145,5 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     text = lambda c: F.concat_ws(".", F.transform(c, F.hex))
     return found.select(
         "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), text("fp").alias("fingerprint"), text("edited_fp").alias("edited_fingerprint"),
-        F.expr(likeness("fp", "edited_fp", "text = edited")).alias("near_edited"), F.expr(likeness("fp", "next_fp", "text = next_text")).alias("near_next"),
+        F.expr(likeness("fp", "edited_fp")).alias("near_edited"), F.expr(likeness("fp", "next_fp")).alias("near_next"),
     )
