@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from .functions import text as T
 from .functions import units
-from .operators import aggregate, graph, impact, matrix, search
+from .operators import aggregate, graph, impact, linking, matrix, search
 from .plans.starview import CTES, DEPTH, Star
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -410,3 +410,59 @@ def _(s: Star):
     postings, lengths = search.index(docs)
     terms = s.table("benchmark").select(F.col("item_id").alias("query"), F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("term"), F.lit(1.0).alias("weight"))
     return rounded(search.bm25(postings, lengths, terms, search.document_statistics(docs, lengths)), "score")
+
+
+_TOKENS = r"string_split(trim(regexp_replace(lower(p_name || ' ' || p_type), '[^\p{L}\p{N}]+', ' ', 'g')), ' ')"
+
+
+def _part_words(s: Star) -> DataFrame:
+    return s.table("part").select(F.explode(T.tokens(F.concat_ws(" ", "p_name", "p_type"))).alias("term")).distinct()
+
+
+@query(
+    "sch_fuzzy_expansion",
+    f"""with vocab as (select distinct unnest({_TOKENS}) as term from part), q as (select distinct substr(term, 1, length(term) - 1) as token from vocab where length(term) > 3),
+    vt as (select term, list_distinct([substr(term, i, 3) for i in range(1, length(term) - 1)]) as tg from vocab where length(term) >= 3),
+    qt as (select token, list_distinct([substr(token, i, 3) for i in range(1, length(token) - 1)]) as qg from q where length(token) >= 3),
+    p as (select token, term, len(list_intersect(qg, tg)) as common, len(qg) as a, len(tg) as b, levenshtein(token, term) as d from qt, vt where len(list_intersect(qg, tg)) > 0),
+    near as (select token, term, 0.5 as weight from (select *, row_number() over (partition by token order by cast(common as double) / (a + b - common) desc, d, term) as n from p where common >= 2 and cast(common as double) / (a + b - common) >= 0.3 and d <= case when length(token) < 6 then 1 else 2 end) where n <= 3),
+    longer as (select token, term, 0.7 as weight from (select *, row_number() over (partition by token order by cast(common as double) / a desc, length(term), term) as n from p where length(token) >= 4 and cast(common as double) / a >= 0.9 and length(term) <= 3 * length(token)) where n <= 10),
+    exact as (select token, token as term, 1.0 as weight from q where token in (select term from vocab))
+    select token as query, token, term, cast(max(weight) as double) as weight from (select * from near where token <> term union all select * from longer where token <> term union all select * from exact) group by 1, 2, 3""",
+    star=False,
+)
+def _(s: Star):
+    words = _part_words(s)
+    asked = words.where("length(term) > 3").selectExpr("substring(term, 1, length(term) - 1) as query").distinct().withColumn("text", F.col("query"))
+    return search.expand(asked, words)
+
+
+@query(
+    "jon_tiered_links",
+    """with a as (select 'O' || l_orderkey as con, l_linenumber as seq, case when l_linenumber % 3 = 0 then -1 else l_partkey end as number, lower(trim(p_name)) as name, case when l_linenumber % 2 = 0 then 'GLO' else 'XX' end as loc from lineitem join part on l_partkey = p_partkey),
+    byname as (select lower(trim(p_name)) as name, max('P' || p_partkey) as supplier from part group by 1)
+    select con, seq, case when number >= 0 then 'P' || number else supplier end as supplier, case when number >= 0 then 1 when loc = 'GLO' then 2 else 3 end as tier from a join byname using (name)""",
+    star=False,
+)
+def _(s: Star):
+    part = s.table("part")
+    asked = s.table("lineitem").join(part, F.col("l_partkey") == F.col("p_partkey")).selectExpr("concat('O', l_orderkey) as con", "l_linenumber as seq", "if(l_linenumber % 3 = 0, -1, l_partkey) as number", "p_name as name", "if(l_linenumber % 2 = 0, 'GLO', 'XX') as location")
+    suppliers = part.selectExpr("concat('P', p_partkey) as act_id", "p_partkey as number", "p_name as name", "'GLO' as location")
+    return linking.tiered_links(asked, suppliers)
+
+
+@query("prj_last_product", "select p_brand as act, max('P' || p_partkey) as product from part group by 1", star=False)
+def _(s: Star):
+    return s.table("part").groupBy(F.col("p_brand").alias("act")).agg(F.max(F.concat(F.lit("P"), "p_partkey")).alias("product"))
+
+
+@query("jon_unmatched_flows", "select flow_id from flows where flow_id not in (select flow_id from factors where method = 'single')")
+def _(s: Star):
+    return s.flows.join(s.factors.where("method = 'single'"), "flow_id", "left_anti").select("flow_id")
+
+
+@query("agg_completeness", "select count(*) as inputs, count(p_partkey) as resolved, count(p_partkey)::double / count(*) * 100 as percent from lineitem left join part on l_partkey = p_partkey and p_size > 10", star=False)
+def _(s: Star):
+    asked = s.table("lineitem")
+    known = s.table("part").where("p_size > 10").selectExpr("p_partkey", "concat('P', p_partkey) as supplier")
+    return linking.completeness(asked.join(known, F.col("l_partkey") == F.col("p_partkey"), "left"), asked)
