@@ -246,15 +246,14 @@ def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of docs (doc_id, text)."""
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "near")
+    scratch = Scratch(docs.sparkSession, "near")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     signed = scratch.save(rows.mapInArrow(_signed, "doc_id long, n long, h1 long, h2 long, keys array<bigint>"), "signed")
 
     full = signed.where("n > 0 and doc_id is not null")
     classes = scratch.save(full.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "classes")
     heads = full.join(classes.select("h1", "h2", F.col("rep").alias("doc_id")), ["h1", "h2", "doc_id"], "left_semi")
-    heads = scratch.save(heads.select(F.col("doc_id").alias("id"), "n", "keys").dropDuplicates(["id", "n"]), "heads")
+    heads = scratch.save(heads.dropDuplicates(["h1", "h2"]).select(F.col("doc_id").alias("id"), "n", "keys"), "heads")
     # equal doc_ids tie their texts' classes together, as do links
     tied = full.groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1").select("doc_id")
     tied = full.join(tied, "doc_id").join(classes, ["h1", "h2"]).selectExpr("doc_id as a", "rep as b").where("a != b")
