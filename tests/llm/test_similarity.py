@@ -137,6 +137,12 @@ def test_fingerprint_hashes_follow_their_definition(spark):
     assert got[3] == ".".join(out) and got[3] != got[30]
 
 
+def test_the_lexicon_has_rare_terms_and_no_others(spark):
+    docs = [(i, f"zz yy u{i} " + " ".join(f"g{i // 4}x{k}" for k in range(6))) for i in range(2400)]
+    rows = fingerprints.fingerprints(spark.createDataFrame(docs, "doc_id long, text string")).where("doc_id % 4 < 3").collect()
+    assert {r.near_next for r in rows} == {1.0}  # 4 of 2400 documents have each g-word; zz, yy and the u-words are out
+
+
 def leaky(rng):
     items = [" ".join(rng.choices(WORDS, k=k)) for k in (15, 30, 59, 100)]
     plain = [" ".join(rng.choices([f"v{i}" for i in range(300)] + WORDS[:60], k=rng.choice([20, 300]))) for _ in range(40)]

@@ -3,8 +3,8 @@
 The lexicon is the terms whose inverse document frequency over the whole corpus lies in a
 band: more than RAREST of the documents have them, and no more than COMMONEST. As no more
 than (mean distinct terms a document) / RAREST terms can be so frequent, the lexicon's size
-is bounded whatever the corpus' is; it travels as a set of 2^BITS places by term hash
-(terms outside the band that share a place count as inside, the same for every text).
+is bounded whatever the corpus' is; it travels as 2^BITS buckets of whole term hashes, the
+value of a scalar subquery over a small table, and only its own terms count as inside.
 
 A text's terms in the lexicon are made distinct and sorted (by hash), and hashed once for
 each of FAMILIES families of randomised sub-lexicons. A family's sub-lexicons halve from one
@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 
 from .common import Scratch
 
-BITS = 18
-RAREST, COMMONEST = 0.01, 0.2
+BITS = 16
+RAREST, COMMONEST = 0.0005, 0.2
 FAMILIES = 16
 #: Documents in a range of doc_ids whose neighbours are found together.
 RANGE = 1500
@@ -42,32 +42,24 @@ def _terms(text: Column) -> Column:
     return F.array_distinct(F.transform(F.filter(F.split(F.lower(text), _SPACES), lambda w: w != ""), lambda w: F.xxhash64(w)))
 
 
-def _lexicon(rows: DataFrame) -> bytes:
-    """The band's terms: a letter for each four of 2^BITS places, from a, whose low bits say where a term of the band is.
+def _lexicon(rows: DataFrame, scratch: Scratch) -> Column:
+    """The band's terms as one value: an array of 2^BITS buckets, a term in the bucket of its low bits.
 
-    Terms are counted over all documents; what comes to the driver are the set's words of 64
-    places, 2^(BITS - 6) of them at most.
+    Terms are counted over all documents. The value is a scalar subquery over a table in the
+    shared folder, so that no plan's text holds it.
     """
     n = rows.count()
     df = rows.select(F.explode(_terms(F.col("text"))).alias("t")).groupBy("t").agg(F.count("*").alias("df"))
-    band = df.where((F.col("df") > RAREST * n) & (F.col("df") <= max(COMMONEST * n, 2)))
-    place = band.selectExpr(f"t & {2**BITS - 1} as p").selectExpr("cast(shiftright(p, 6) as int) as k", "shiftleft(1L, cast(p & 63 as int)) as bit")
-    places = bytearray(b"a" * 2 ** (BITS - 2))
-    for row in place.groupBy("k").agg(F.bit_or("bit").alias("bits")).collect():
-        for i in range(16):
-            places[row.k * 16 + i] += (row.bits >> (4 * i)) & 15
-    return bytes(places)
+    band = scratch.save(df.where((F.col("df") > RAREST * n) & (F.col("df") <= max(COMMONEST * n, 2))).select("t"), "lexicon")
+    held = band.groupBy(F.col("t").bitwiseAND(F.lit(2**BITS - 1)).alias("id")).agg(F.collect_list("t").alias("ts"))
+    every = rows.sparkSession.range(0, 2**BITS, 1, 1).join(held, "id", "left")
+    every = every.agg(F.array_sort(F.collect_list(F.struct("id", F.coalesce("ts", F.array().cast("array<bigint>")).alias("ts")))).alias("all"))
+    return every.select(F.col("all.ts")).scalar()
 
 
-def _kept(text: Column, places: bytes) -> Column:
-    """The text's sorted distinct terms in the lexicon; the whole text as one term if there are none."""
-    table = F.lit(bytearray(places))
-
-    def inside(h: Column) -> Column:
-        place = h.bitwiseAND(F.lit(2**BITS - 1)).cast("int")
-        letter = F.substring(table, F.shiftright(place, 2) + 1, F.lit(1)).cast("string")
-        return F.getbit(F.ascii(letter) - 97, place.bitwiseAND(3)) == 1
-
+def _kept(text: Column, lexicon: Column) -> Column:
+    """The text's sorted distinct terms in the lexicon, an array of buckets; the whole text as one term if there are none."""
+    inside = lambda h: F.array_contains(F.get(lexicon, h.bitwiseAND(F.lit(2**BITS - 1)).cast("int")), h)
     some = F.array_sort(F.filter(_terms(text), inside))
     return F.transform(F.array(some), lambda k: F.when((F.size(k) > 0) | (text == ""), k).otherwise(F.array(F.xxhash64(text))))[0]
 
@@ -92,7 +84,7 @@ def likeness(a: str, b: str) -> str:
     return f"cast(size(filter(zip_with({a}, {b}, (x, y) -> x = y), f -> f)) as double) / {FAMILIES}"
 
 
-def _with_next(rows: DataFrame, places: bytes, scratch: Scratch) -> DataFrame:
+def _with_next(rows: DataFrame, lexicon: Column, scratch: Scratch) -> DataFrame:
     """rows (doc_id, text) with fp, its hashes, and next_text and next_fp of the row that follows by (doc_id, text).
 
     Ranges of doc_id are dealt out; each gets the first row of the range after it as well, and
@@ -116,7 +108,7 @@ def _with_next(rows: DataFrame, places: bytes, scratch: Scratch) -> DataFrame:
     guests = guests.selectExpr("d.doc_id as doc_id", "d.text as text", "f.into as part", "if(f.wraps, 2, 1) as turn")
     guests = guests.withColumn("rank", F.row_number().over(Window.partitionBy("part", "turn").orderBy("text"))).where("rank = 1").drop("rank")
     both = dealt.select("doc_id", "text", "part", F.lit(0).alias("turn")).unionByName(guests)
-    both = both.withColumn("kept", _kept(F.col("text"), places)).withColumn("fp", F.expr(_hashes("kept"))).drop("kept")
+    both = both.withColumn("lexicon", lexicon).withColumn("kept", _kept(F.col("text"), F.col("lexicon"))).drop("lexicon").withColumn("fp", F.expr(_hashes("kept"))).drop("kept")
     within = Window.partitionBy("part").orderBy("turn", F.col("doc_id").asc_nulls_first(), "text")
     both = both.withColumn("next_text", F.lead("text").over(within)).withColumn("next_fp", F.lead("fp").over(within))
     return both.where("turn = 0").drop("turn", "part")
@@ -137,11 +129,11 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next."""
     scratch = Scratch(docs.sparkSession, "imatch")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    places = _lexicon(rows)
-    found = _with_next(rows, places, scratch)
+    lexicon = _lexicon(rows, scratch)
+    found = _with_next(rows, lexicon, scratch)
     found = found.withColumn("n_chars", F.length("text").cast("long"))
     found = found.withColumn("edited", F.expr("concat(substring(text, 1, n_chars - n_chars div 2), substring(next_text, 1, cast(n_chars div 2 as int)))"))
-    found = found.withColumn("kept", _kept(F.col("edited"), places)).withColumn("edited_fp", F.expr(_hashes("kept")))
+    found = found.withColumn("lexicon", lexicon).withColumn("kept", _kept(F.col("edited"), F.col("lexicon"))).drop("lexicon").withColumn("edited_fp", F.expr(_hashes("kept")))
     text = lambda c: F.concat_ws(".", F.transform(c, F.hex))
     return found.select(
         "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), text("fp").alias("fingerprint"), text("edited_fp").alias("edited_fingerprint"),
