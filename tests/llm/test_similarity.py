@@ -143,6 +143,19 @@ def test_the_lexicon_has_rare_terms_and_no_others(spark):
     assert {r.near_next for r in rows} == {1.0}  # 4 of 2400 documents have each g-word; zz, yy and the u-words are out
 
 
+def test_a_large_group_of_near_copies_stays_alike(spark):
+    rng = random.Random(8)
+    base = [f"h{k}" for k in range(60)]
+    docs = [(i, " ".join(f"x{i}" if rng.random() < 0.03 else w for w in base)) for i in range(200)]
+    docs += [(200 + i, " ".join(rng.choices(WORDS, k=40))) for i in range(300)]
+    rows = fingerprints.fingerprints(spark.createDataFrame(docs, "doc_id long, text string")).where("doc_id < 199").collect()
+    assert np.mean([r.near_next for r in rows]) > 0.7
+    # in every document each word is too common; a text without kept terms is still like a near copy
+    same = [(i, " ".join(base) + (" zz" if i % 2 else "")) for i in range(40)]
+    rows = fingerprints.fingerprints(spark.createDataFrame(same, "doc_id long, text string")).collect()
+    assert min(r.near_next for r in rows) > 0.7
+
+
 def leaky(rng):
     items = [" ".join(rng.choices(WORDS, k=k)) for k in (15, 30, 59, 100)]
     plain = [" ".join(rng.choices([f"v{i}" for i in range(300)] + WORDS[:60], k=rng.choice([20, 300]))) for _ in range(40)]

@@ -1,18 +1,20 @@
 """Operator 6 [native]: I-Match fingerprints over randomised lexicons.
 
 The lexicon is the terms whose inverse document frequency over the whole corpus lies in a
-band: more than RAREST of the documents have them, and no more than COMMONEST. As no more
-than (mean distinct terms a document) / RAREST terms can be so frequent, the lexicon's size
-is bounded whatever the corpus' is; it travels as 2^BITS buckets of whole term hashes, the
-value of a scalar subquery over a small table, and only its own terms count as inside.
+band: more than RAREST of the documents have them, and no more than COMMONEST of the
+documents or of the groups of like documents (those whose SKETCH least term hashes are equal),
+so that one large group of near copies does not push its own words out. As no more than (mean
+distinct terms a document) / RAREST terms can be so frequent, the lexicon's size is bounded
+whatever the corpus' is; it travels as 2^BITS buckets of whole term hashes, the value of a
+scalar subquery over a small table, and only its own terms count as inside.
 
 A text's terms in the lexicon are made distinct and sorted (by hash), and hashed once for
 each of FAMILIES families of randomised sub-lexicons. A family's sub-lexicons halve from one
 to the next, as more low bits of a term's hash must agree with the family's pattern; a text
 is hashed by the smallest of them that has any of its terms, so that few terms decide each
 hash, whatever the text's length, and those far from a change stay equal. The likeness of two
-fingerprints is the share of equal hashes. A text without terms of the lexicon is its own
-single term; the empty text has none.
+fingerprints is the share of equal hashes. A text without terms of the lexicon keeps all its
+terms; one of white space only is its own single term; the empty text has none.
 
 Defined results: a null text is empty; null doc_ids come first; rows of equal doc_id are
 ordered by text and each is a document; a single document is its own next one; an empty
@@ -31,6 +33,8 @@ from .common import Scratch
 BITS = 16
 RAREST, COMMONEST = 0.0005, 0.2
 FAMILIES = 16
+#: Texts whose so many least term hashes are equal count as one for COMMONEST: copies, and most near copies.
+SKETCH = 4
 #: Documents in a range of doc_ids whose neighbours are found together.
 RANGE = 1500
 
@@ -49,8 +53,13 @@ def _lexicon(rows: DataFrame, scratch: Scratch) -> Column:
     shared folder, so that no plan's text holds it.
     """
     n = rows.count()
-    df = rows.select(F.explode(_terms(F.col("text"))).alias("t")).groupBy("t").agg(F.count("*").alias("df"))
-    band = scratch.save(df.where((F.col("df") > RAREST * n) & (F.col("df") <= max(COMMONEST * n, 2))).select("t"), "lexicon")
+    terms = rows.select(F.array_sort(_terms(F.col("text"))).alias("ts")).select("ts", F.xxhash64(F.slice("ts", 1, SKETCH)).alias("likes"))
+    # the null term is in every document, so it counts the groups
+    terms = terms.select("likes", F.explode(F.array_append("ts", F.lit(None).cast("long"))).alias("t"))
+    df = terms.groupBy("t", "likes").agg(F.count("*").alias("df")).groupBy("t").agg(F.sum("df").alias("df"), F.count("*").alias("groups"))
+    df = scratch.save(df.where((F.col("df") > RAREST * n) | F.col("t").isNull()), "terms")
+    groups = df.where("t is null").agg(F.max("groups")).first()[0] or 0
+    band = df.where(F.col("t").isNotNull() & ((F.col("df") <= max(COMMONEST * n, 2)) | (F.col("groups") <= COMMONEST * groups))).select("t")
     held = band.groupBy(F.col("t").bitwiseAND(F.lit(2**BITS - 1)).alias("id")).agg(F.collect_list("t").alias("ts"))
     every = rows.sparkSession.range(0, 2**BITS, 1, 1).join(held, "id", "left")
     every = every.agg(F.array_sort(F.collect_list(F.struct("id", F.coalesce("ts", F.array().cast("array<bigint>")).alias("ts")))).alias("all"))
@@ -58,10 +67,10 @@ def _lexicon(rows: DataFrame, scratch: Scratch) -> Column:
 
 
 def _kept(text: Column, lexicon: Column) -> Column:
-    """The text's sorted distinct terms in the lexicon, an array of buckets; the whole text as one term if there are none."""
+    """The text's sorted distinct terms in the lexicon, an array of buckets; all its terms if it has none there, the whole text if it has no terms."""
     inside = lambda h: F.array_contains(F.get(lexicon, h.bitwiseAND(F.lit(2**BITS - 1)).cast("int")), h)
-    some = F.array_sort(F.filter(_terms(text), inside))
-    return F.transform(F.array(some), lambda k: F.when((F.size(k) > 0) | (text == ""), k).otherwise(F.array(F.xxhash64(text))))[0]
+    own = F.transform(F.array(F.array_sort(_terms(text))), lambda ts: F.when((F.size(ts) > 0) | (text == ""), ts).otherwise(F.array(F.xxhash64(text))))[0]
+    return F.transform(F.array(own), lambda ts: F.transform(F.array(F.filter(ts, inside)), lambda k: F.when(F.size(k) > 0, k).otherwise(ts))[0])[0]
 
 
 def _patterns() -> list[int]:
