@@ -57,6 +57,45 @@ def test_licences_are_those_of_a_full_comparison(spark):
     assert licenses.scan(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def found(text):
+    matcher = licenses.Matcher()
+    units = matcher.scan(text)
+    return [(h[0], h[1], text[h[2] : h[3]]) for h in units + matcher.windows(text, units)]
+
+
+def test_licences_over_paragraphs_and_within_lines():
+    mit = licenses.TEMPLATES["MIT:text"]
+    split = mit.replace("conditions: The", "conditions:\n\nThe").replace("Software. THE", "Software.\n\nTHE")
+    prose = " ".join(f"It was day {i} in town." for i in range(200))
+    hits = [h for h in found(f"{prose}\n\n{split}\n\n{prose}\n\n{split}\n\nend") if h[0] == "MIT:text"]
+    # the last two words repeat a bigram of the window, so the shortest of the likest is without them
+    assert hits == [("MIT:text", "window", split.removesuffix(" THE SOFTWARE."))] * 2
+    assert ("MIT:notice", "window", "released under the MIT License") in found("The code is released under the MIT License and may be reused.")
+    assert ("MIT:text", "window", mit.removesuffix(" THE SOFTWARE.")) in found(prose + mit + " " + prose)
+    assert not found(prose) and not found("İ " + prose)
+    many = "x Released under the MIT License." * 3000
+    assert sum(h[0] == "MIT:notice" for h in found(many)) == 3000
+    assert [h[0] for h in found(mit)].count("MIT:text") == 1  # a unit found isn't found again as a window
+    one = "Released under the MIT License."
+    assert [h[:2] for h in found(one) if h[0] == "MIT:notice"] == [("MIT:notice", "line")]
+
+
+def test_the_likest_window_is_that_of_a_full_comparison():
+    rng = random.Random(5)
+    for _ in range(60):
+        own = [rng.choice("abcdef") + "lonely" for _ in range(rng.choice([5, 9]))]
+        text = " ".join(rng.choices([w for w in own] + ["x", "y"], k=6) + [w for w in own if rng.random() < 0.9] + rng.choices([*own, "x", "y"], k=8))
+        matcher = licenses.Matcher({"t": " ".join(own)})
+        theirs, words = licenses.bigrams(" ".join(own)), text.split()
+        best = 0.0
+        for i in range(len(words)):
+            for j in range(i + 2, min(len(words), i + licenses.SPAN * len(own)) + 1):
+                some = licenses.bigrams(" ".join(words[i:j]))
+                best = max(best, 2 * len(some & theirs) / (len(some) + len(theirs)))
+        got = [h[4] for h in matcher.windows(text, [])]
+        assert (max(got) == best) if best >= licenses.THRESHOLD else not got
+
+
 def test_canonical_urls(spark):
     urls = ["HTTP://www.Example.com:80/a/?b=2&utm_source=x&a=1#f", "https://example.com/a?a=1&b=2", " ", None, "example.com", "http://example.com/"]
     df = spark.createDataFrame([(u,) for u in urls], "url string")

@@ -2,11 +2,16 @@
 
 Units of a text are its lines, its paragraphs (runs of lines between blank ones) and the
 whole text. A unit's normalised words are lower-case runs of letters and digits; its set of
-word bigrams is compared with each template's: Dice = 2 * common / (sizes' sum).
+word bigrams is compared with each template's: Dice = 2 * common / (sizes' sum). Where no
+unit is like a template, windows of words are: any run of words of the text, over lines and
+paragraphs or within one, of up to SPAN times the template's words. The likest one is
+reported (the shortest, then first of these), then the likest of what is left on either side.
 
 Pruning is exact: with sizes u and t, Dice is at most 2 * min / (u + t), which bounds the
 sizes worth comparing; and a unit without any of a template's anchor words shares at most its
-other bigrams, which are too few for the threshold by the choice of the anchors.
+other bigrams, which are too few for the threshold by the choice of the anchors. A window
+begins and ends with a bigram of the template (cutting others off only adds to its Dice) and
+has a least number of them, so a text with fewer has none.
 
 Defined results: a null or empty text matches nothing; a null doc_id is reported as null;
 repeated rows are reported as often as they come; a unit that equals another unit of its text
@@ -16,14 +21,19 @@ other columns are never read. Offsets are code points, end exclusive.
 
 from __future__ import annotations
 
+import bisect
+import heapq
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 THRESHOLD = 0.8
+#: Words of a window against those of the template, at most.
+SPAN = 2
 
 # Licence notices and texts, as their authors publish them.
 TEMPLATES = {
@@ -49,8 +59,13 @@ _LINE = re.compile(r"[^\n]+")
 _PARAGRAPH = re.compile(r"[^\n]+(?:\n[^\n]+)+")
 
 
+def _lower(text: str) -> str:
+    """Lower case, place by place: dotted capital I is the one letter that would become two."""
+    return text.replace("\u0130", "i").lower()
+
+
 def bigrams(text: str) -> frozenset[tuple[str, str]]:
-    words = _WORD.findall(text.lower())
+    words = _WORD.findall(_lower(text))
     return frozenset(zip(words, words[1:], strict=False))
 
 
@@ -63,7 +78,11 @@ class Matcher:
         self.templates = [(n, b) for n, b in self.templates if b]
         self.bounds = [(n, b, len(b) * threshold / (2 - threshold) - _SLACK, len(b) * (2 - threshold) / threshold + _SLACK) for n, b in self.templates]
         self.least = min((lo for *_, lo, _ in self.bounds), default=0)
-        self.anchors = re.compile("|".join(sorted({re.escape(a) for _, b in self.templates for a in self._anchors(b)})) or r"(?!)", re.I)
+        self.anchors = sorted({a for _, b in self.templates for a in self._anchors(b)})
+        self.spans = {n: SPAN * len(_WORD.findall(_lower(t))) for n, t in templates.items()}
+
+    def _anchored(self, lowered: str) -> bool:
+        return any(a in lowered for a in self.anchors)
 
     def _anchors(self, own: frozenset) -> list[str]:
         """Words such that the bigrams without them are too few for the threshold.
@@ -91,7 +110,7 @@ class Matcher:
 
     def scan(self, text: str | None) -> list[tuple[str, str, int, int, float]]:
         """(template, unit, start, end, dice) of the text's units that are like a template."""
-        if not text or not self.anchors.search(text):
+        if not text or not self._anchored(lowered := _lower(text)):
             return []
         seen: set[tuple[int, int]] = set()
         found = []
@@ -99,20 +118,79 @@ class Matcher:
         units = [(kind, *m.span()) for kind, p in (("line", _LINE), ("paragraph", _PARAGRAPH)) for m in p.finditer(text)]
         for kind, a, b in units + whole:
             # a bigram takes three characters at least
-            if (a, b) in seen or b - a < 3 * self.least or not self.anchors.search(text, a, b):
+            if (a, b) in seen or b - a < 3 * self.least or not self._anchored(lowered[a:b]):
                 continue
             seen.add((a, b))
             found += [(name, kind, a, b, dice) for name, dice in self.compare(text[a:b])]
         return found
 
+    def windows(self, text: str | None, units: list[tuple[str, str, int, int, float]]) -> list[tuple[str, str, int, int, float]]:
+        """(template, unit, start, end, dice) of the text's windows like a template, outside of the units found like it."""
+        if not text or not self._anchored(lowered := _lower(text)):
+            return []
+        words = [(m.group(), *m.span()) for m in _WORD.finditer(lowered)]
+        pairs = [(v[0], w[0]) for v, w in zip(words, words[1:], strict=False)]
+        own = set(pairs)
+        found: list[tuple[str, str, int, int, float]] = []
+        before = None
+        for name, theirs, low, _ in self.bounds:
+            if len(own) < low or len(own & theirs) < low:
+                continue
+            if before is None:  # where each bigram was last
+                last: dict[tuple[str, str], int] = {}
+                before = np.empty(len(pairs), np.int64)
+                for i, pair in enumerate(pairs):
+                    before[i] = last.get(pair, -1)
+                    last[pair] = i
+            hit = np.fromiter((p in theirs for p in pairs), bool, len(pairs))
+            left, at = [], 0
+            for a, b in sorted((u[2], u[3]) for u in units if u[0] == name):
+                left.append((at, a))
+                at = max(at, b)
+            for a, b in [*left, (at, len(text))]:
+                inside = [i for i in np.flatnonzero(hit).tolist() if words[i][1] >= a and words[i + 1][2] <= b]
+                if inside:
+                    found += [(name, "window", words[i][1], words[j + 1][2], dice) for i, j, dice in self._likest(before, hit, inside[0], inside[-1] + 1, low, len(theirs), self.spans[name])]
+        return found
+
+    def _likest(self, before: np.ndarray, hit: np.ndarray, start: int, stop: int, low: float, size: int, span: int) -> list[tuple[int, int, float]]:
+        """(first, last bigram, dice) of the likest window within start:stop, and those beside it."""
+        at = start + np.flatnonzero(hit[start:stop])
+        heap: list[tuple[float, int, int]] = []
+
+        def push(i: int, stop: int) -> None:
+            end = min(stop, i + span - 1)
+            new = before[i:end] < i
+            dice = 2 * np.cumsum(new & hit[i:end]) / (np.cumsum(new) + size)
+            j = int(dice.argmax())
+            if dice[j] >= self.threshold:
+                heapq.heappush(heap, (-float(dice[j]), j, i))
+
+        for i in at[np.searchsorted(at, at + span) - np.arange(len(at)) >= low].tolist():
+            push(i, stop)
+        taken: list[tuple[int, int, float]] = []
+        while heap:
+            dice, j, i = heapq.heappop(heap)
+            k = bisect.bisect(taken, (i, stop))
+            if k and taken[k - 1][1] >= i:
+                continue
+            if k < len(taken) and taken[k][0] <= i + j:
+                push(i, taken[k][0])  # a part of it is taken: what is left from there
+            else:
+                taken.insert(k, (i, i + j, -dice))
+        return taken
+
 
 def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, template, unit, start, end, dice of every unit of docs (doc_id, text) like a template."""
+    """doc_id, template, unit, start, end, dice of every unit and window of docs (doc_id, text) like a template."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = Matcher(templates, threshold)
         for batch in batches:
-            found = [(i, *hit) for i, t in enumerate(batch.column(1)) for hit in matcher.scan(t.as_py())]
+            found = []
+            for i, t in enumerate(batch.column(1).to_pylist()):
+                units = matcher.scan(t)
+                found += [(i, *hit) for hit in units + matcher.windows(t, units)]
             ids = batch.column(0).take(pa.array([f[0] for f in found], pa.int64()))
             kinds = (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.float64())
             rest = [pa.array([f[k + 1] for f in found], kind) for k, kind in enumerate(kinds)]
