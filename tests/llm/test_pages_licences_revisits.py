@@ -88,6 +88,7 @@ def test_wordings_and_full_texts():
         ("This project is available under the BSD 3-Clause License.", "BSD-3-Clause"), ("Licensed under the GNU Lesser General Public License, version 3.", "LGPL-3.0"), ("All of it is under CC BY-SA 4.0 now.", "CC-BY-SA-4.0"),
     ):
         assert any(h[0].startswith(name + ":") for h in found(text)), text
+    assert not any(h[0].startswith("GPL-2.0") for h in found("It is under the GNU General Public License, version 3, now."))
     for name in ("Apache-2.0", "BSD-3-Clause", "GPL-2", "GPL-3", "LGPL-2.1", "LGPL-3", "MPL-2.0", "CC0-1.0", "CC-BY-SA-4.0"):
         assert any(h[0] == f"{name}:text" for h in found("Some words first.\n\n" + licenses.TEMPLATES[f"{name}:text"])), name
 

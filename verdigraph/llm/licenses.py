@@ -5,7 +5,8 @@ whole text. A unit's normalised words are lower-case runs of letters and digits;
 word bigrams is compared with each template's: Dice = 2 * common / (sizes' sum). Where no
 unit is like a template, windows of words are: any run of words of the text, over lines and
 paragraphs or within one, of up to SPAN times the template's words. The likest one is
-reported (the shortest, then first of these), then the likest of what is left on either side.
+reported (the shortest, then first of these), then the likest of what is left on either side;
+not those within a unit or window that is more like another template.
 
 Pruning is exact: with sizes u and t, Dice is at most 2 * min / (u + t), which bounds the
 sizes worth comparing; and a unit without any of a template's anchor words shares at most its
@@ -112,8 +113,8 @@ class Matcher:
         self.anchors = sorted({a for _, b in self.templates for a in self._anchors(b)})
         self.spans = {n: SPAN * len(_WORD.findall(_lower(t))) for n, t in templates.items()}
 
-    def _anchored(self, lowered: str) -> bool:
-        return any(a in lowered for a in self.anchors)
+    def _anchored(self, lowered: str) -> list[str]:
+        return [a for a in self.anchors if a in lowered]
 
     def _anchors(self, own: frozenset) -> list[str]:
         """Words such that the bigrams without them are too few for the threshold.
@@ -142,7 +143,7 @@ class Matcher:
 
     def scan(self, text: str | None) -> list[tuple[str, str, int, int, float]]:
         """(template, unit, start, end, dice) of the text's units that are like a template."""
-        if not text or not self._anchored(lowered := _lower(text)):
+        if not text or not (here := self._anchored(lowered := _lower(text))):
             return []
         seen: set[tuple[int, int]] = set()
         found = []
@@ -150,7 +151,7 @@ class Matcher:
         units = [(kind, *m.span()) for kind, p in (("line", _LINE), ("paragraph", _PARAGRAPH)) for m in p.finditer(text)]
         for kind, a, b in units + whole:
             # a bigram takes three characters at least
-            if (a, b) in seen or b - a < 3 * self.least or not self._anchored(lowered[a:b]):
+            if (a, b) in seen or b - a < 3 * self.least or not any(lowered.find(x, a, b) >= 0 for x in here):
                 continue
             seen.add((a, b))
             found += [(name, kind, a, b, dice) for name, dice in self.compare(text[a:b])]
@@ -158,7 +159,10 @@ class Matcher:
 
     def windows(self, text: str | None, units: list[tuple[str, str, int, int, float]]) -> list[tuple[str, str, int, int, float]]:
         """(template, unit, start, end, dice) of the text's windows like a template, outside of the units found like it."""
-        if not text or not self._anchored(lowered := _lower(text)):
+        if not text:
+            return []
+        lowered = _lower(text)
+        if not any(a in lowered for a in self.anchors):
             return []
         words = [(m.group(), *m.span()) for m in _WORD.finditer(lowered)]
         pairs = [(v[0], w[0]) for v, w in zip(words, words[1:], strict=False)]
@@ -175,15 +179,12 @@ class Matcher:
                     before[i] = last.get(pair, -1)
                     last[pair] = i
             hit = np.fromiter((p in theirs for p in pairs), bool, len(pairs))
-            left, at = [], 0
-            for a, b in sorted((u[2], u[3]) for u in units if u[0] == name):
-                left.append((at, a))
-                at = max(at, b)
-            for a, b in [*left, (at, len(text))]:
-                inside = [i for i in np.flatnonzero(hit).tolist() if words[i][1] >= a and words[i + 1][2] <= b]
-                if inside:
-                    found += [(name, "window", words[i][1], words[j + 1][2], dice) for i, j, dice in self._likest(before, hit, inside[0], inside[-1] + 1, low, len(theirs), self.spans[name])]
-        return found
+            at = np.flatnonzero(hit)
+            found += [(name, "window", words[i][1], words[j + 1][2], dice) for i, j, dice in self._likest(before, hit, int(at[0]), int(at[-1]) + 1, low, len(theirs), self.spans[name])]
+        # a licence's name with another one's number is a part of what that one's template is likelier to
+        every = [*units, *found]
+        found = [f for f in found if not any(o[2] <= f[2] and f[3] <= o[3] and o[4] > f[4] for o in every)]
+        return [f for f in found if not any(u[0] == f[0] and u[2] < f[3] and f[2] < u[3] for u in units)]
 
     def _likest(self, before: np.ndarray, hit: np.ndarray, start: int, stop: int, low: float, size: int, span: int) -> list[tuple[int, int, float]]:
         """(first, last bigram, dice) of the likest window within start:stop, and those beside it."""
