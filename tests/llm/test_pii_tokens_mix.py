@@ -64,13 +64,20 @@ def test_packing_round_trip():
 
 
 def test_encode_is_the_librarys(spark):
-    tok, _ = token_output._tokenizer(PATH)
     rng = np.random.default_rng(3)
-    texts = [t or "" for t in TEXTS] + ["".join(rng.choice(list("ab \n\t'é.1  s"), 30)) for _ in range(500)]
-    ids, lengths = token_output.encode(PATH, pa.array(texts, pa.large_string()))
-    want = [tok.encode(t, add_special_tokens=False).ids for t in texts]
-    assert lengths.tolist() == [len(w) for w in want]
-    assert ids.tolist() == [x for w in want for x in w]
+    texts = [t or "" for t in TEXTS] + ["".join(rng.choice(list("ab \n\t'\u00e9.1 \u00a0 s"), 30)) for _ in range(500)]
+    texts += ["hello <|endoftext|> bye", "<|endoftext|><|endoftext|>", "a <|endof text|> b", "one word " * 200_000]
+    for special in (True, False):
+        tok = tokenizers.Tokenizer.from_file(PATH)
+        if not special:
+            tok.encode_special_tokens = True
+        for some in (texts, texts[-4:-2], texts[:5]):
+            ids, lengths = token_output.encode(PATH, pa.array(some, pa.large_string()), special)
+            want = [tok.encode(t, add_special_tokens=False).ids for t in some]
+            assert lengths.tolist() == [len(w) for w in want]
+            assert ids.tolist() == [x for w in want for x in w]
+    ids, _ = token_output.encode(PATH, pa.array(["hello <|endoftext|> bye"], pa.large_string()))
+    assert ids.tolist() == [31373, 220, 50256, 33847]
 
 
 def test_files_hold_every_document_in_order(spark, tmp_path):
@@ -78,7 +85,7 @@ def test_files_hold_every_document_in_order(spark, tmp_path):
     files = token_output.write_tokens(docs, f"file://{tmp_path}/t", PATH, partitions=3)
     rows = sorted(token_output.read_tokens(spark, files).collect(), key=lambda r: r.start)
     order = sorted(((r.doc_id, r.text) for r in docs.collect()), key=lambda r: (r[0] is not None, r[0] or 0))
-    tok, at = token_output._tokenizer(PATH)[0], 0
+    tok, at = tokenizers.Tokenizer.from_file(PATH), 0
     for r, (i, t) in zip(rows, order, strict=True):
         ids = [*tok.encode(t or "", add_special_tokens=False).ids, 2]
         assert (r.doc_id, r.start, r.n_tokens, r.ids_crc32) == (i, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))

@@ -10,7 +10,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text that a Python worker turns into arrays at a time.
 SLICE_BYTES = 4 << 20
@@ -21,13 +22,38 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """The folder that driver and executors share: spark.checkpoint.dir.
+
+    Where it is unset a local session gets a temporary folder; a cluster's is refused, as its
+    executors would not see the driver's folders.
+    """
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir is unset: it must name a folder that the driver and all executors share")
         found = "file://" + os.path.join(tempfile.gettempdir(), "verdigraph-shared")
     return found.rstrip("/")
 
 
+def unused(df: DataFrame, *stems: str) -> list[str]:
+    """A name for each stem that no column of df has, whatever its case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for stem in stems:
+        name, k = stem, 0
+        while name.lower() in taken:
+            k += 1
+            name = f"{stem}_{k}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def column(name: str) -> Column:
+    """The column of exactly this name, dots and backticks included."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 class Scratch:
     """Tables written to the shared folder: they cut lineage and outlive executors.
 
@@ -126,7 +152,8 @@ def words_of(column: pa.Array, lower: bool = True) -> tuple[np.ndarray, np.ndarr
     place = np.arange(len(raw), dtype=np.int64) - starts[word]
     values = (_LOWER[raw] if lower else raw).astype(np.uint64) + np.uint64(1)
     values *= _PLACE[place & 255]
-    if len(place) and place.max() > 255:
-        values *= (((place >> 8) << 1) | 1).astype(np.uint64)
+    far = np.flatnonzero(place > 255)
+    if len(far):  # every place has its own multiplier, or words that differ 256 bytes apart could hash alike
+        values[far] *= mix64(place[far].astype(np.uint64) + _PLACE[0]) | np.uint64(1)
     values[space] = 0
     return mix64(np.add.reduceat(values, starts)), first, starts, raw

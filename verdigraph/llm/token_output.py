@@ -8,6 +8,9 @@ Every id takes the fewest bits that hold the vocabulary. A file is
 and its trailer holds counts, bit width and block length, so that a reader finds any id:
 block = position // block length, whose bytes start at the block's offset.
 
+The strings of the tokenizer's special tokens in a text become those tokens' ids, as the
+untouched library has it; with special=False they are ordinary text.
+
 Defined results: a null or empty text is the end id alone; null doc_ids come first;
 rows with equal doc_id are ordered by text and each stays a document; an empty table
 gives no documents; other columns are never read.
@@ -31,11 +34,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import flat, offsets_of, shared_dir, slices
+from .common import Scratch, flat, slices
 
 MAGIC = b"VGIDS1\0\0"
 TRAILER = struct.Struct("<QQQHxxI8s")  # documents, ids, index start, bits, block length, magic
 BLOCK = 1 << 16
+#: Bytes of text in a file, about, where the table holds more than the shuffle's partitions of it.
+FILE_BYTES = 256 << 20
 #: White space by Unicode. A space followed by one of these, or by the end, does not begin a piece.
 _WS = "\\x09-\\x0d\\x1c-\\x20\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 _ODD = re.compile(f" (?:[{_WS}]|$)")
@@ -150,27 +155,29 @@ class Reader:
 
 
 @cache
-def _tokenizer(path: str):
-    """The tokenizer, and the bytes of text that each id stands for."""
+def _tokenizer(path: str, special: bool = True):
+    """The tokenizer, the bytes of text that each id stands for, and the strings that it looks for before it cuts words."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(path)
-    tok.encode_special_tokens = True
+    if not special:
+        tok.encode_special_tokens = True
+    added = [t.content for t in tok.get_added_tokens_decoder().values() if special or not t.special]
     spans = np.zeros(tok.get_vocab_size(), np.int64)
     for word, i in tok.get_vocab().items():
         spans[i] = len(word)  # one character for each byte in a byte-level vocabulary
-    return tok, spans
+    return tok, spans, added
 
 
-def _encode_pieces(path: str, pieces: list[str], group: int = 256) -> tuple[np.ndarray, np.ndarray]:
+def _encode_pieces(path: str, special: bool, pieces: list[str], group: int = 256) -> tuple[np.ndarray, np.ndarray]:
     """Ids of " " + piece for each piece, end to end, and their number for each piece.
 
     Pieces don't begin with white space, so the encoder cuts a run of them exactly where
     one begins: groups are encoded in one call each, and the ids' byte lengths say which
     ids belong to which piece.
     """
-    tok, spans = _tokenizer(path)
+    tok, spans, _ = _tokenizer(path, special)
     runs = ["".join([f" {p}" for p in pieces[k : k + group]]) for k in range(0, len(pieces), group)]
     coded = [np.array(e.ids, np.uint32) for e in tok.encode_batch_fast(runs, add_special_tokens=False)]
     ids = np.concatenate(coded) if coded else np.zeros(0, np.uint32)
@@ -183,17 +190,40 @@ def _encode_pieces(path: str, pieces: list[str], group: int = 256) -> tuple[np.n
     return ids, np.diff(stop, prepend=0)
 
 
-def encode(path: str, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def _encode_whole(path: str, special: bool, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    coded = [np.array(e.ids, np.uint32) for e in _tokenizer(path, special)[0].encode_batch_fast(texts, add_special_tokens=False)]
+    return np.concatenate([np.zeros(0, np.uint32), *coded]), np.array([len(x) for x in coded], np.int64)
+
+
+def encode(path: str, texts: pa.Array, special: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """Ids of the whole texts end to end, and each text's number of ids.
 
     A byte-level vocabulary's pre-tokeniser never joins a space that has a visible
     character behind it to what stands before it, so a text falls into pieces there, and
-    each distinct piece of a batch is encoded once.
+    each distinct piece of a batch is encoded once. Texts that hold an added token's string
+    are encoded whole, as the library cuts there first.
     """
-    tok, _ = _tokenizer(path)
+    tok, _, added = _tokenizer(path, special)
     if tok.normalizer is not None or type(tok.pre_tokenizer).__name__ != "ByteLevel":
-        coded = [np.array(e.ids, np.uint32) for e in tok.encode_batch_fast(texts.to_pylist(), add_special_tokens=False)]
-        return np.concatenate([np.zeros(0, np.uint32), *coded]), np.array([len(x) for x in coded], np.int64)
+        return _encode_whole(path, special, texts.to_pylist())
+    holds = np.zeros(len(texts), bool)
+    for word in added:
+        holds |= pc.match_substring(texts, word).to_numpy(zero_copy_only=False)
+    if not holds.any():
+        return _encode_split(path, special, texts)
+    parts = [(np.flatnonzero(holds), *_encode_whole(path, special, texts.filter(pa.array(holds)).to_pylist()))]
+    if not holds.all():
+        parts.append((np.flatnonzero(~holds), *_encode_split(path, special, texts.filter(pa.array(~holds)))))
+    each: list[np.ndarray] = [np.zeros(0, np.uint32)] * len(texts)
+    for rows, ids, lengths in parts:
+        for k, own in zip(rows.tolist(), np.split(ids, np.cumsum(lengths)[:-1]), strict=True):
+            each[k] = own
+    return np.concatenate(each), np.array([len(x) for x in each], np.int64)
+
+
+def _encode_split(path: str, special: bool, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """encode() of texts without any added token's string."""
+    tok, _, _ = _tokenizer(path, special)
     lists = pc.split_pattern(texts, " ")
     odd = pc.match_substring_regex(texts, " (?:[\\s\\x{0b}\\x{1c}-\\x{1f}\\x{85}\\pZ]|$)").to_numpy(zero_copy_only=False)
     if odd.any():
@@ -202,7 +232,7 @@ def encode(path: str, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     first, values = first - first[0], lists.flatten()
     coded = values.dictionary_encode()
     index = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-    ids, counts = _encode_pieces(path, coded.dictionary.to_pylist())
+    ids, counts = _encode_pieces(path, special, coded.dictionary.to_pylist())
     # a text's first piece has no space before it
     heads = [np.array(e.ids, np.uint32) for e in tok.encode_batch_fast(values.take(pa.array(first[:-1])).to_pylist(), add_special_tokens=False)]
     starts = np.append(np.cumsum(counts) - counts, len(ids) + np.cumsum([0, *map(len, heads)])[:-1])
@@ -224,10 +254,11 @@ def _with_end(ids: np.ndarray, lengths: np.ndarray, end_id: int) -> tuple[np.nda
 # ---- Spark -------------------------------------------------------------------------
 
 
-def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 2, partitions: int | None = None) -> list[tuple[str, int, int]]:
+def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 2, partitions: int | None = None, special: bool = True) -> list[tuple[str, int, int]]:
     """Writes every document of docs (doc_id, text) to files in folder, in ascending doc_id order.
 
-    One file for each range of doc_id; a task that is run again replaces its own file.
+    One file for each range of doc_id, of about FILE_BYTES of text where there is that much
+    and partitions isn't given; a task that is run again replaces its own file.
     Returns (file, documents, ids) by file in order: as many as partitions.
     """
 
@@ -239,7 +270,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 2,
             for a, b in slices(texts):
                 if out is None:
                     out = Writer(uri, bits_for(max(_tokenizer(tokenizer)[0].get_vocab_size(), end_id + 1)))
-                out.add(batch.column(0).slice(a, b - a), *_with_end(*encode(tokenizer, texts.slice(a, b - a)), end_id))
+                out.add(batch.column(0).slice(a, b - a), *_with_end(*encode(tokenizer, texts.slice(a, b - a), special), end_id))
         if out is not None:
             n_docs, n_ids = out.close()
             yield pa.RecordBatch.from_pydict({"part": [part], "file": [uri], "docs": [n_docs], "ids": [n_ids]})
@@ -247,7 +278,8 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 2,
     fs, path = pafs.FileSystem.from_uri(folder)
     fs.create_dir(path, recursive=True)
     if partitions is None:
-        partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        size = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")).cast("long"))).first()[0] or 0
+        partitions = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // FILE_BYTES))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     dealt = rows.repartitionByRange(partitions, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
     done = dealt.mapInArrow(files, "part long, file string, docs long, ids long").collect()
@@ -281,11 +313,10 @@ def read_tokens(spark: SparkSession, files: list[tuple[str, int, int]]) -> DataF
     return spark.range(0, len(files), 1, n).mapInArrow(rows, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
-def token_output(docs: DataFrame, tokenizer: str, end_id: int = 2, folder: str | None = None) -> DataFrame:
-    """Writes the documents' ids to files and reads them back; folder is a new one in the shared folder by default."""
-    spark = docs.sparkSession
-    folder = folder or f"{shared_dir(spark)}/vg-tokens-{uuid.uuid4().hex[:12]}"
-    return read_tokens(spark, write_tokens(docs, folder, tokenizer, end_id))
+def token_output(docs: DataFrame, tokenizer: str, end_id: int = 2, folder: str | None = None, special: bool = True) -> DataFrame:
+    """Writes the documents' ids to files and reads them back.
 
-
-__all__ = ["Reader", "Writer", "bits_for", "encode", "offsets_of", "pack", "read_tokens", "token_output", "unpack", "write_tokens"]
+    The files stay in folder; without one they are in a new folder in the shared one, which goes at the end of the session.
+    """
+    spark = docs.sparkSession
+    return read_tokens(spark, write_tokens(docs, folder or Scratch(spark, "tokens").root, tokenizer, end_id, special=special))
