@@ -49,11 +49,35 @@ def test_spans_are_those_of_the_contract(spark):
     assert private_data.redact("mail a@b.co now") == "mail [email] now"
 
 
+def test_account_numbers_and_secrets():
+    def kinds(t):
+        return [(k, t[a:b]) for k, a, b, _ in private_data.find_spans(t) if k not in private_data.BASE]
+
+    for iban in ("ES9121000418450200051332", "AT611904300234573201", "DE89 3704 0044 0532 0130 00", "GB82 WEST 1234 5698 7654 32", "FR14 2004 1010 0505 0001 3M02 606"):
+        for after in ("", " EUR", " VISA", " BIC", ".", " A1", " ABCD EFGH"):
+            assert kinds(f"order {iban}{after}") == [("iban", iban)], iban + after
+        assert not kinds(iban[:-1] + str((int(iban[-1]) + 1) % 10))
+    assert kinds("ZZ6810000000000000000 ABC") == [("iban", "ZZ6810000000000000000")] if private_data.mod97("ZZ6810000000000000000") else True
+    assert kinds('token = "04dbebab91ab85687d33eeaaf9ac699e1188f962" x') == [("secret", "04dbebab91ab85687d33eeaaf9ac699e1188f962")]
+    assert kinds("PASSWORD: hunter2hunter9x.") == [("secret", "hunter2hunter9x")]
+    assert not kinds("the token of aaaaaaaaaaaaaaaaaaaa") and not kinds("token: 111111111111111111") and not kinds("secret = somethingwithoutanydigit")
+    assert not kinds("123-45-6789") and kinds("ssn 123-45-6789") == [("ssn", "123-45-6789")]
+
+
+def test_empty_and_very_long_texts(spark):
+    rows = private_data.digest(private_data.spans(spark.createDataFrame([], "doc_id long, text string"))).collect()
+    assert rows == []
+    long = "word 12 " * 200_000 + "x@y.org " + "7" * 300_000 + " " + "a" * 300_000
+    assert [s[0] for s in private_data.find_spans(long)] == ["email"]
+
+
 def test_emails_by_run_are_finditer():
     rng = np.random.default_rng(1)
     for _ in range(4000):
         t = "".join(rng.choice(list("ab.@- é"), 24))
         assert list(private_data._emails(t)) == [m.span() for m in private_data._EMAIL.finditer(t)]
+        t = "".join(rng.choice(list("12..3a"), 30))
+        assert [m.span() for m in private_data._IP_RUNS.finditer(t)] == [m.span() for m in private_data._IP.finditer(t)]
 
 
 def test_packing_round_trip():
