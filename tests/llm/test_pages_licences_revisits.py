@@ -21,6 +21,62 @@ def test_main_text_by_the_two_passes():
     assert html_text.second_pass([True, None, False]) == [True, True, False] and html_text.second_pass([None]) == [True]
 
 
+def test_article_and_main_are_evidence_only():
+    body = [f"It was the best of times and it was the worst of times for all of them in town {i}." for i in range(4)]
+    plain = "".join(f"<div>{b}</div>" for b in body)
+    teaser = f"<article><h3>A card</h3></article>{plain}<p>Tail</p>"
+    assert html_text.main_text(teaser).split("\n") == ["A card", *body, "Tail"]
+    # the article holds most words: a medium block outside is bad, a long one with stop words is good, short ones follow
+    long = " ".join(body[:3])
+    page = f"<p>Crumb</p><article><h1>Head</h1><p>{long}</p><p>{long}</p><p>x</p></article><p>{body[0]}</p><p>Short</p><div>{long}</div>"
+    assert html_text.main_text(page).split("\n") == ["Head", long, long, "x", "Short", long]
+    assert html_text.main_text(f"<p>Crumb</p><main><h1>Head</h1><p>{long}</p></main><p>Tail</p>").split("\n") == ["Head", long]
+    codes = "<p>" + " ".join(f"AB{i}" for i in range(60)) + "</p>"
+    assert html_text.main_text(f"<div><a href=x>menu and more of it</a></div>{codes}<div><a href=y>other links to the rest</a></div>") == ""
+    names = " ".join(f"AB{i}" for i in range(60))
+    assert html_text.main_text(f"<p>{names}</p>") == names  # no page language to go by
+    assert html_text.main_text("<p>a<![CDATA[bcdef") == "abcdef"
+
+
+def test_second_pass_is_that_of_a_plain_search():
+    rng = random.Random(4)
+    for _ in range(500):
+        labels = [rng.choice([True, False, None, None]) for _ in range(rng.randint(0, 9))]
+        want = []
+        for i, own in enumerate(labels):
+            decided = sorted((abs(i - k), labels[k] is False, k) for k in range(len(labels)) if labels[k] is not None)
+            left = [d for d in decided if d[2] <= i][:1]
+            right = [d for d in decided if d[2] >= i][:1]
+            near = sorted(left + right)
+            want.append(own if own is not None else labels[near[0][2]] if near else True)
+        assert html_text.second_pass(labels) == want
+
+
+def test_every_page_goes_through_both_passes(spark):
+    import os
+
+    path = "/root/testdata/sf0.01/pages.parquet"
+    if not os.path.exists(path):
+        import pytest
+
+        pytest.skip("no test tables here")
+    pages = spark.read.parquet(path)
+    r = html_text.extract(pages).selectExpr("sum(n_blocks) as b", "sum(n_undecided) as u", "min(n_chars) as least").first()
+    assert 0.1 * r.b < r.u < 0.9 * r.b and r.least > 0
+    # the same pages with their article in plain divs: every block is labelled as before
+    bare = pages.selectExpr("page_id", "url", "regexp_replace(html, '</?article>', '') as html")
+    both = html_text.extract(pages).join(html_text.extract(bare).selectExpr("page_id", "text as other"), "page_id")
+    assert both.where("text != other").count() == 0
+    assert html_text.extract(pages.limit(0)).count() == 0
+
+
+def test_a_very_long_page():
+    part = "It was the best of times and it was the worst of times for all of them in the old town."
+    page = "<body>" + f"<script/><p>{part}<p>x" * 20000
+    assert html_text.main_text(page) == "\n".join([part, "x"] * 20000)
+    assert html_text.main_text("<div>" * 20000 + part + "</div>" * 20000) == part
+
+
 def test_odd_pages(spark):
     for page, want in ((None, ""), ("", ""), ("plain  text", "plain text"), ("<p>a<p>b", "a\nb"), ("<article>x<!-- y", "x"), ("<p>1 < 2 & 3 &amp", "1 < 2 & 3 &"), ("<script>never", ""), ("<article></article>", ""), ("<p>" * 3000 + "z", "z")):
         assert html_text.main_text(page) == want

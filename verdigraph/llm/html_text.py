@@ -2,12 +2,21 @@
 
 A page is cut into blocks at block-level tags. Markup that says what it is (scripts, forms,
 menus, footers, asides, and elements whose class, id or role names a menu, an advert, a
-notice or comments) holds no blocks of the article. The first pass classifies every other
-block by stop-word density, length and link density: good, bad, or undecided where it is
-short. The second pass gives undecided blocks the label of their nearest decided neighbours:
-where both sides agree that label, else the nearer one's, on a tie good. Where the page marks
-its article (article, main), only blocks inside are taken, and what stands there is bad only
-by its links.
+notice or comments) holds no blocks of the article.
+
+The first pass classifies every other block by link density, length and stop-word density:
+good, bad, or undecided where it is short. On a page in a language whose stop words are known,
+a longer block without any is a list of names or codes and is undecided too. The second pass
+gives undecided blocks the label of their nearest decided neighbours: where both sides agree
+that label, else the nearer one's, on a tie good.
+
+Tags article and main are evidence, not a filter. Where at least half of the good words of a
+page (without good ones: of the undecided words) stand inside them they are its main region:
+in it a block is good or undecided (bad only by its links), and its undecided blocks look for
+neighbours in it and are good where none is; outside, only blocks that are long and dense in
+stop words are good, the others of MEDIUM words are bad, and undecided blocks look for
+neighbours outside and are bad where none is good. Where most good words stand elsewhere (the
+article is a teaser) all blocks count alike.
 
 Defined results: a null or empty page has the empty text; a page without a decided block
 keeps its undecided ones; unclosed tags end with the page; repeated rows give a row each;
@@ -19,13 +28,16 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
+from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: First pass: link density above LINKS is bad; text of LONG words, or with STOPS of stop words and MEDIUM words, is good.
-LINKS, LONG, MEDIUM, STOPS, SHORT_STOPS = 0.5, 40, 10, 0.15, 0.3
+#: First pass: a link density above LINKS is bad; LONG words are good, and MEDIUM words with a stop-word density of STOPS.
+LINKS, LONG, MEDIUM, STOPS = 0.5, 40, 10, 0.15
+#: A block with a lower stop-word density than this has none to speak of.
+NONE = 0.03
 
 # Tags.
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -57,11 +69,21 @@ _HIDDEN = re.compile(r"(?:^|\s)(?:hidden(?=[\s=/]|$)|aria-hidden\s*=\s*[\"']?tru
 _WORD = re.compile(r"[^\W_]+")
 
 
+@cache
+def _close(name: str) -> re.Pattern:
+    return re.compile(rf"</{re.escape(name)}\s*>", re.I)
+
+
 class Block:
-    __slots__ = ("linked", "main", "text")
+    """A block's text, how many of its characters are linked, whether it is inside article or main; its words and their stop-word density."""
+
+    __slots__ = ("linked", "main", "stops", "text", "words")
 
     def __init__(self, text: str, linked: int, main: bool):
         self.text, self.linked, self.main = text, linked, main
+        words = [w.lower() for w in _WORD.findall(text)]
+        self.words = len(words)
+        self.stops = sum(w in STOP_WORDS for w in words) / max(1, len(words))
 
 
 def blocks(page: str) -> list[Block]:
@@ -102,7 +124,7 @@ def blocks(page: str) -> list[Block]:
         name = m.group(2)
         if name is None:
             if m.group().startswith("<![CDATA[") and not out_depth:
-                parts.append(m.group()[9:-3])
+                parts.append(m.group()[9:].removesuffix("]]>"))
             continue
         name = name.lower()
         if m.group(1):
@@ -117,8 +139,8 @@ def blocks(page: str) -> list[Block]:
                     break
             continue
         if name in _RAW:
-            close = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
             if not m.group().endswith("/>"):
+                close = _close(name).search(page, at)
                 at = close.end() if close else n
             if name in _BLOCK:
                 flush()
@@ -149,18 +171,17 @@ def blocks(page: str) -> list[Block]:
     return out
 
 
-def first_pass(block: Block) -> bool | None:
-    """True good, False bad, None undecided."""
-    chars = max(1, len(block.text.replace(" ", "")))
-    if block.linked / chars > LINKS:
+def first_pass(block: Block, known: bool = True, region: bool = False) -> bool | None:
+    """True good, False bad, None undecided; known: the page's language is, region: the page has a main region."""
+    if block.linked > LINKS * max(1, len(block.text.replace(" ", ""))):
         return False
-    if block.main:
-        return True
-    words = [w.lower() for w in _WORD.findall(block.text)]
-    stops = sum(w in STOP_WORDS for w in words) / max(1, len(words))
-    if len(words) >= LONG or len(words) >= MEDIUM and stops >= STOPS:
-        return True
-    return None if len(words) < MEDIUM or stops < SHORT_STOPS else True
+    if known and block.stops < NONE:
+        return None if block.main or not region or block.words < MEDIUM else False
+    if region and not block.main:
+        if block.words >= LONG and (block.stops >= STOPS or not known):
+            return True
+        return False if block.words >= MEDIUM else None
+    return True if block.words >= LONG or block.words >= MEDIUM and block.stops >= STOPS else None
 
 
 def second_pass(labels: list[bool | None]) -> list[bool]:
@@ -185,23 +206,42 @@ def second_pass(labels: list[bool | None]) -> list[bool]:
     return out
 
 
-def main_text(page: str | None) -> str:
-    if not page:
-        return ""
+def labelled(page: str) -> list[tuple[Block, bool | None, bool]]:
+    """The page's blocks with their labels after the first and after the second pass."""
     found = blocks(page)
-    if any(b.main for b in found):
-        found = [b for b in found if b.main]
-    keep = second_pass([first_pass(b) for b in found])
-    return "\n".join(b.text for b, k in zip(found, keep, strict=True) if k)
+    words = sum(b.words for b in found)
+    known = sum(b.stops * b.words for b in found) >= NONE * words
+    plain = [first_pass(b, known) for b in found]
+    told = [b for b, label in zip(found, plain, strict=True) if label] or [b for b, label in zip(found, plain, strict=True) if label is None]
+    inside = sum(b.words for b in told if b.main)
+    region = 0 < inside and 2 * inside >= sum(b.words for b in told)
+    first = [first_pass(b, known, region) for b in found]
+    last: list[bool] = [False] * len(found)
+    for part in ([b.main for b in found], [not b.main for b in found]) if region else ([True] * len(found),):
+        own = [k for k, p in enumerate(part) if p]
+        some = [first[k] for k in own]
+        if region and not any(some):  # without a good block the region's own label holds
+            some = [found[k].main if first[k] is None else first[k] for k in own]
+        for k, label in zip(own, second_pass(some), strict=True):
+            last[k] = label
+    return list(zip(found, first, last, strict=True))
+
+
+def main_text(page: str | None) -> str:
+    return "\n".join(b.text for b, _, good in labelled(page) if good) if page else ""
 
 
 def extract(pages: DataFrame) -> DataFrame:
-    """page_id, url, text, n_chars of every row of pages (page_id, url, html)."""
+    """page_id, url, text, n_chars, n_blocks, n_undecided (after the first pass) of every row of pages (page_id, url, html)."""
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [main_text(x.as_py()) for x in batch.column(2)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.string()), pa.array([len(t) for t in found], pa.int64())], names=["page_id", "url", "text", "n_chars"])
+            found = [labelled(x.as_py() or "") for x in batch.column(2)]
+            out = ["\n".join(b.text for b, _, good in page if good) for page in found]
+            counts = [[len(t) for t in out], [len(page) for page in found], [sum(first is None for _, first, _ in page) for page in found]]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(out, pa.string()), *[pa.array(c, pa.int64()) for c in counts]], names=["page_id", "url", "text", "n_chars", "n_blocks", "n_undecided"]
+            )
 
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    return rows.mapInArrow(texts, "page_id long, url string, text string, n_chars long")
+    return rows.mapInArrow(texts, "page_id long, url string, text string, n_chars long, n_blocks long, n_undecided long")
