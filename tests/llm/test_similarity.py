@@ -71,6 +71,34 @@ def test_near_duplicates_odd_tables(spark):
     assert sorted(r.doc_id or 0 for r in kept) == [0, 1, 1, 3]
 
 
+def test_long_words_that_differ_256_bytes_apart_are_different(spark):
+    a = "k" + "m" * 255 + "k"
+    b = chr(ord("k") + 3) + "m" * 255 + chr(ord("k") - 1)
+    hashes, *_ = near_dedup.words_of(pa.array([a, b], pa.large_string()))
+    assert hashes[0] != hashes[1]
+    rng = np.random.default_rng(5)
+    words = ["".join(map(chr, rng.integers(97, 100, 700))) for _ in range(300)]
+    assert len({int(h) for h in near_dedup.words_of(pa.array(words, pa.large_string()))[0]}) == len(set(words))
+    rows = near_dedup.near_duplicates(spark.createDataFrame([(1, a), (2, b)], "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.component_id) for r in rows) == [(1, 1), (2, 2)]
+
+
+def test_large_classes_and_many_ids_take_their_own_ways(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "HOT", 3)
+    monkeypatch.setattr(near_dedup, "IDS", 1)
+    docs = corpus(2)
+    docs += [(2000 + i, docs[20][1]) for i in range(9)] + [(2100 + i, "") for i in range(5)]
+    rows = near_dedup.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    key = lambda r: str(r)
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in rows), key=key) == sorted(components_by_contract(docs), key=key)
+
+
+def test_clashing_columns_go_along(spark):
+    docs = spark.createDataFrame([(1, "a b c d e f", 5, "p", 0.5), (2, "a b c d e f", 6, "q", 0.1)], "doc_id long, text string, vg_kept_id int, vg_mix string, vg_score double")
+    (row,) = near_dedup.keep_one(docs).collect()
+    assert row.asDict() == {"doc_id": 1, "text": "a b c d e f", "vg_kept_id": 5, "vg_mix": "p", "vg_score": 0.5}
+
+
 def test_prefix_pairs_are_complete(spark):
     rng = np.random.default_rng(4)
     sets = [np.unique(rng.choice(rng.integers(0, 2**63, 60, dtype=np.uint64), 40)) for _ in range(4)]

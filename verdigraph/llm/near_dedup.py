@@ -22,6 +22,8 @@ columns are never read.
 
 from __future__ import annotations
 
+import hashlib
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, flat, mix64, slices, words_of
+from .common import Scratch, flat, mix64, slices, unused, words_of
 
 WORDS = 5
 ROWS, BANDS = 5, 45
@@ -37,8 +39,10 @@ ROWS, BANDS = 5, 45
 FIRST = 9
 #: Shingle places that are counted for the prefix filter's order, and what makes one crowded.
 CELLS, CROWD = 22, 24
-#: Places of the set of doc_ids that is sent to the texts: 2^IDS bits.
-IDS = 24
+#: A set of doc_ids that is sent to the texts has 2^SPARE places for each of them, and no more than 2^IDS: beyond, texts and ids are joined.
+SPARE, IDS = 4, 26
+#: Copies from which a class of equal sets is met by a broadcast row instead of a shuffle on its digest: one in so many rows at most is such a class.
+HOT = 1 << 20
 #: 100 * intersection >= PERCENT * union
 PERCENT = 75
 
@@ -97,9 +101,10 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sizes, high, low, keys = [], [], [], []
             for found in shingles(texts.slice(a, b - a)):
                 sizes.append(len(found))
-                mixed = mix64(found)
-                high.append(int(found.sum(dtype=np.uint64).view(np.int64)))
-                low.append(int(mixed.sum(dtype=np.uint64).view(np.int64)))
+                # of the whole set, so that equal digests stand for equal sets
+                one, two = struct.unpack("<qq", hashlib.blake2b(found.tobytes(), digest_size=16).digest())
+                high.append(one)
+                low.append(two)
                 keys.append(bands(signature(found)) if len(found) else None)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).slice(a, b - a), pa.array(sizes, pa.int64()), pa.array(high, pa.int64()), pa.array(low, pa.int64()), pa.array(keys, pa.list_(pa.int64()))],
@@ -166,21 +171,25 @@ def _mixed(buckets: DataFrame, comps: DataFrame, least: int) -> DataFrame:
 
 
 def _sets_of(rows: DataFrame, ids: DataFrame) -> DataFrame:
-    """(id, set) of the texts with these doc_ids, and of a few more.
+    """(id, set) of the texts with these distinct doc_ids, and of a few more.
 
-    The ids go to the texts as a set of 2^IDS places, so that texts needn't be shuffled; a
-    place may stand for several ids.
+    The ids go to the texts as a set of places, so that texts needn't be shuffled; its size
+    follows their number, and a place may stand for several ids. More ids than such a set
+    holds are joined with the texts.
     """
-    place = f"(id ^ shiftright(id, {IDS}) ^ shiftright(id, {2 * IDS})) & {2**IDS - 1}"
+    bits = max(10, ids.count().bit_length() + SPARE)
+    if bits > IDS:
+        return rows.join(ids.selectExpr("id as doc_id"), "doc_id", "left_semi").select("doc_id", "text").mapInArrow(_sets, "id long, set binary")
+    place = f"(id ^ shiftright(id, {bits}) ^ shiftright(id, {2 * bits})) & {2**bits - 1}"
     words = ids.selectExpr(f"{place} as p").selectExpr("cast(shiftright(p, 6) as int) as k", "shiftleft(1L, cast(p & 63 as int)) as bit").groupBy("k").agg(F.bit_or("bit").alias("bits")).collect()
-    wanted = np.zeros(2**IDS // 64, np.int64)
+    wanted = np.zeros(2**bits // 64, np.int64)
     for w in words:
         wanted[w.k] = w.bits
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             i = batch.column(0).fill_null(0).to_numpy(zero_copy_only=False)
-            p = (i ^ (i >> IDS) ^ (i >> (2 * IDS))) & (2**IDS - 1)
+            p = (i ^ (i >> bits) ^ (i >> (2 * bits))) & (2**bits - 1)
             keep = ((wanted[p >> 6] >> (p & 63)) & 1).astype(bool) & batch.column(0).is_valid().to_numpy(zero_copy_only=False)
             if keep.any():
                 yield from _sets(iter([batch.filter(pa.array(keep))]))
@@ -190,7 +199,8 @@ def _sets_of(rows: DataFrame, ids: DataFrame) -> DataFrame:
 
 def _confirm(pairs: DataFrame, rows: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough."""
-    sets = scratch.save(_sets_of(rows, pairs.selectExpr("explode(array(a, b)) as id").distinct()), name)
+    ids = scratch.save(pairs.selectExpr("explode(array(a, b)) as id").distinct(), f"{name}-ids")
+    sets = scratch.save(_sets_of(rows, ids), name)
     held = pairs.join(sets.selectExpr("id as a", "set as sa"), "a").join(sets.selectExpr("id as b", "set as sb"), "b")
     return held.select("a", "b", "sa", "sb").mapInArrow(_linked, "a long, b long")
 
@@ -282,11 +292,21 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         linked = scratch.save(linked.union(_confirm(third, rows, scratch, "sets-3")), "edges-2")
         comps = components(linked, scratch, "comps-2")
 
-    found = classes.join(comps.withColumnRenamed("id", "rep"), "rep", "left").select("h1", "h2", F.coalesce("comp", "rep").alias("component"))
+    found = classes.join(comps.withColumnRenamed("id", "rep"), "rep", "left").select("h1", "h2", "copies", F.coalesce("comp", "rep").alias("component"))
     found = scratch.save(found, "found")
     for name in ("heads", "buckets", "sets-0", "sets-1", "sets-2", "sets-3"):
         scratch.drop(name)
-    out = signed.drop("keys").join(found, ["h1", "h2"], "left")
+    # texts without words have no class; classes with very many copies, a few, don't meet their rows in one task
+    bare, some = signed.drop("keys").where("n = 0"), signed.drop("keys").where("n > 0")
+    hot = found.where(F.col("copies") >= HOT).drop("copies")
+    out = some
+    if not hot.isEmpty():
+        hot = F.broadcast(hot)
+        out = some.join(hot, ["h1", "h2"], "left_anti")
+        bare = bare.withColumn("component", F.lit(None).cast("long")).unionByName(some.join(hot, ["h1", "h2"]))
+    else:
+        bare = bare.withColumn("component", F.lit(None).cast("long"))
+    out = out.join(found.drop("copies"), ["h1", "h2"], "left").unionByName(bare)
     component = F.when(F.col("doc_id").isNull(), F.lit(None)).when(F.col("n") > 0, F.least("component", "doc_id")).otherwise(F.col("doc_id"))
     out = out.select("doc_id", F.col("n").alias("n_shingles"), component.cast("long").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
@@ -294,8 +314,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of docs whose document stays: one document of each component."""
-    stays = near_duplicates(docs).where("kept and doc_id is not null").select(F.col("doc_id").alias("vg_kept_id")).distinct()
-    return docs.join(stays, F.col("doc_id").cast("long") == F.col("vg_kept_id"), "left_semi").unionByName(docs.where("doc_id is null"))
+    (name,) = unused(docs, "vg_kept_id")
+    stays = near_duplicates(docs).where("kept and doc_id is not null").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(stays, F.col("doc_id").cast("long") == F.col(name), "left_semi").unionByName(docs.where("doc_id is null"))
 
 
 #: Exact links between all pairs that share a shingle, for tables of a few thousand rows.
