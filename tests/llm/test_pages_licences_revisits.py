@@ -116,6 +116,24 @@ def test_licences_are_those_of_a_full_comparison(spark):
 MATCHER = licenses.Matcher()
 
 
+def test_candidates_hold_all_that_is_found():
+    import pyarrow as pa
+
+    rng, names = random.Random(6), list(licenses.TEMPLATES)
+    texts = ["", "İt is under the MIT license", "\u212aey words, under the MIT license", "“under the MIT License”—now", "under\u00a0the\u2028MIT license", "plain words"]
+    for name in rng.choices([n for n in names if len(licenses.TEMPLATES[n]) < 3000], k=60):
+        words = [w if rng.random() > 0.1 else rng.choice(["x", "the", "é"]) for w in licenses.TEMPLATES[name].split()]
+        texts.append(rng.choice(["", "Prose first. ", "Ünd so\n\n"]) + rng.choice([" ", "\n", " “"]).join(words) + rng.choice(["", " and more of it"]))
+    among = MATCHER.candidates(pa.array(texts, pa.large_string()))
+    for i, t in enumerate(texts):
+        units = MATCHER.scan(t)
+        every = units + MATCHER.windows(t, units)
+        assert {h[0] for h in every} <= among.get(i, set())
+        some = MATCHER.scan(t, among.get(i, set()))
+        assert some + MATCHER.windows(t, some, among.get(i, set())) == every
+    assert 0 not in among and 5 not in among and not MATCHER.candidates(pa.array([], pa.large_string()))
+
+
 def found(text):
     units = MATCHER.scan(text)
     return [(h[0], h[1], text[h[2] : h[3]]) for h in units + MATCHER.windows(text, units)]

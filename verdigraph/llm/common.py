@@ -129,14 +129,14 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def words_of(column: pa.Array, lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Words `[^\\x20\\x09-\\x0D]+` of each text, as arrays over the whole column.
+def words_of(column: pa.Array, lower: bool = True, between: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Words `[^\\x20\\x09-\\x0D]+` of each text, or runs of the bytes not in between, as arrays over the whole column.
 
     Returns the words' 64-bit hashes, the first word of each row (one entry more than
     rows), the words' start bytes and the bytes.
     """
     raw, off = offsets_of(column)
-    space = _SPACE[raw]
+    space = between[raw]
     begins = ~space
     if len(raw):
         begins[1:] &= space[:-1]

@@ -9,10 +9,12 @@ reported (the shortest, then first of these), then the likest of what is left on
 not those within a unit or window that is more like another template.
 
 Pruning is exact: with sizes u and t, Dice is at most 2 * min / (u + t), which bounds the
-sizes worth comparing; and a unit without any of a template's anchor words shares at most its
-other bigrams, which are too few for the threshold by the choice of the anchors. A window
-begins and ends with a bigram of the template (cutting others off only adds to its Dice) and
-has a least number of them, so a text with fewer has none.
+sizes worth comparing, and a unit or window like a template has at least
+t * threshold / (2 - threshold) of its bigrams, so a text with fewer has none. That is counted
+for all texts of a batch at once, over hashes of words of ASCII letters and digits (any other
+byte ends a word, which can only add to a count), and only the few texts and templates that
+reach it are compared. A window begins and ends with a bigram of the template (cutting others
+off only adds to its Dice).
 
 Defined results: a null or empty text matches nothing; a null doc_id is reported as null;
 repeated rows are reported as often as they come; a unit that equals another unit of its text
@@ -25,20 +27,22 @@ from __future__ import annotations
 import bisect
 import heapq
 import re
-from collections import Counter
 from collections.abc import Iterator
 from importlib import resources
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import flat, mix64, slices, words_of
+
 THRESHOLD = 0.8
 #: Words of a window against those of the template, at most.
 SPAN = 2
 
-# Licence notices and texts, as their authors publish them.
+# Licence texts and headers as their authors publish them (white space aside), and common wordings of short notices.
 TEMPLATES = {
     "Apache-2.0:notice": "Licensed under the Apache License, Version 2.0.",
     "Apache-2.0:header": """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.""",
@@ -51,7 +55,9 @@ TEMPLATES = {
     "CC-BY-SA-4.0:notice": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
     "ISC:text": """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.""",
     "BSD-2-Clause:text": """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.""",
-    "Unlicense:text": """This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.""",
+    "Unlicense:text": """This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means. In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE. For more information, please refer to <https://unlicense.org/>""",
+    "Zlib:text": """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution.""",
+    "BSL-1.0:text": """Boost Software License - Version 1.0 - August 17th, 2003 Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following: The copyright notices in the Software and this entire statement, including the above license grant, this restriction and the following disclaimer, must be included in all copies of the Software, in whole or in part, and all derivative works of the Software, unless such copies or derivative works are solely in the form of machine-executable object code generated by a source language processor. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE, TITLE AND NON-INFRINGEMENT. IN NO EVENT SHALL THE COPYRIGHT HOLDERS OR ANYONE DISTRIBUTING THE SOFTWARE BE LIABLE FOR ANY DAMAGES OR OTHER LIABILITY, WHETHER IN CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.""",
     "copyright:notice": "Copyright. All rights reserved.",
     "BSD-3-Clause:text": """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.""",
     "MPL-2.0:header": """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.""",
@@ -101,8 +107,22 @@ def bigrams(text: str) -> frozenset[tuple[str, str]]:
     return frozenset(zip(words, words[1:], strict=False))
 
 
+#: What lies between words of ASCII letters and digits.
+_BETWEEN = np.array([not chr(c).isalnum() or c > 127 for c in range(256)])
+#: Letters beyond ASCII whose lower case is in it.
+_FOLDED = "[\u0130\u212a]"
+
+
+def _pair_keys(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """A hash of each bigram of ASCII words, and its text's row."""
+    words, first, _, _ = words_of(texts, between=_BETWEEN)
+    row = np.repeat(np.arange(len(texts)), np.diff(first))
+    same = row[1:] == row[:-1]
+    return (mix64(words[:-1] * np.uint64(3)) + words[1:])[same], row[1:][same]
+
+
 class Matcher:
-    """Templates with their size bounds and anchor words."""
+    """Templates with their size bounds and the bigrams that texts are searched for."""
 
     def __init__(self, templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD):
         self.threshold = threshold
@@ -110,40 +130,51 @@ class Matcher:
         self.templates = [(n, b) for n, b in self.templates if b]
         self.bounds = [(n, b, len(b) * threshold / (2 - threshold) - _SLACK, len(b) * (2 - threshold) / threshold + _SLACK) for n, b in self.templates]
         self.least = min((lo for *_, lo, _ in self.bounds), default=0)
-        self.anchors = sorted({a for _, b in self.templates for a in self._anchors(b)})
         self.spans = {n: SPAN * len(_WORD.findall(_lower(t))) for n, t in templates.items()}
+        # which of the templates' bigrams, by hash, are in which template; those of other letters count as met
+        pairs = sorted({p for _, b in self.templates for p in b if (p[0] + p[1]).isascii()})
+        keys = _pair_keys(pa.array([" ".join(p) for p in pairs], pa.large_string()))[0] if pairs else np.zeros(0, np.uint64)
+        order = np.argsort(keys)
+        self.keys = keys[order]
+        self.held = np.array([[pairs[k] in b for _, b in self.templates] for k in order], np.int32).reshape(len(pairs), len(self.templates))
+        self.needed = np.array([lo - sum(not (p[0] + p[1]).isascii() for p in b) for _, b, lo, _ in self.bounds])
 
-    def _anchored(self, lowered: str) -> list[str]:
-        return [a for a in self.anchors if a in lowered]
-
-    def _anchors(self, own: frozenset) -> list[str]:
-        """Words such that the bigrams without them are too few for the threshold.
-
-        A unit that shares only those has Dice 2 * rest / (rest + size) at best. Words that
-        many bigrams hold and few other texts do come first: long ones, in ASCII.
-        """
-        rest, chosen = set(own), []
-        while rest and 2 * len(rest) / (len(rest) + len(own)) >= self.threshold - _SLACK:
-            counts = Counter(w for pair in rest for w in set(pair))
-            words = [w for w in counts if w.isascii()] or list(counts)
-            best = max(words, key=lambda w: (len(w) >= 7, len(w) * counts[w], w))
-            chosen.append(best)
-            rest = {pair for pair in rest if best not in pair}
-        return chosen
-
-    def compare(self, text: str) -> list[tuple[str, float]]:
+    def candidates(self, texts: pa.Array) -> dict[int, set[str]]:
+        """The rows with enough bigrams of some templates, and those templates' names."""
+        every = [n for n, *_ in self.bounds]
+        found: dict[int, set[str]] = {}
+        if not every or not len(texts):
+            return found
+        if (self.needed <= 0).any():  # a template of other letters may be anywhere
+            return {i: set(every) for i in range(len(texts))}
+        keys, row = _pair_keys(texts)
+        if len(self.keys):
+            at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+            hit = self.keys[at] == keys
+            own = np.unique(row[hit] * len(self.keys) + at[hit])
+            rows, starts = np.unique(own // len(self.keys), return_index=True)
+            for k in range(0, len(rows), 4096):
+                stop = starts[k + 4096] if k + 4096 < len(rows) else len(own)
+                counts = np.add.reduceat(self.held[own[starts[k] : stop] % len(self.keys)], starts[k : k + 4096] - starts[k])
+                for r, t in zip(*np.nonzero(counts >= self.needed), strict=True):
+                    found.setdefault(int(rows[k + r]), set()).add(every[t])
+        for i in np.flatnonzero(pc.match_substring_regex(texts, _FOLDED).to_numpy(zero_copy_only=False)).tolist():
+            found[i] = set(every)
+        return found
+
+    def compare(self, text: str, among: set[str] | None = None) -> list[tuple[str, float]]:
         own = bigrams(text)
         found = []
         for name, theirs, low, high in self.bounds:
-            if low <= len(own) <= high:
+            if low <= len(own) <= high and (among is None or name in among):
                 dice = 2 * len(own & theirs) / (len(own) + len(theirs))
                 if dice >= self.threshold:
                     found.append((name, dice))
         return found
 
-    def scan(self, text: str | None) -> list[tuple[str, str, int, int, float]]:
-        """(template, unit, start, end, dice) of the text's units that are like a template."""
-        if not text or not (here := self._anchored(lowered := _lower(text))):
+    def scan(self, text: str | None, among: set[str] | None = None) -> list[tuple[str, str, int, int, float]]:
+        """(template, unit, start, end, dice) of the text's units that are like a template (of those among)."""
+        if not text:
             return []
         seen: set[tuple[int, int]] = set()
         found = []
@@ -151,26 +182,23 @@ class Matcher:
         units = [(kind, *m.span()) for kind, p in (("line", _LINE), ("paragraph", _PARAGRAPH)) for m in p.finditer(text)]
         for kind, a, b in units + whole:
             # a bigram takes three characters at least
-            if (a, b) in seen or b - a < 3 * self.least or not any(lowered.find(x, a, b) >= 0 for x in here):
+            if (a, b) in seen or b - a < 3 * self.least:
                 continue
             seen.add((a, b))
-            found += [(name, kind, a, b, dice) for name, dice in self.compare(text[a:b])]
+            found += [(name, kind, a, b, dice) for name, dice in self.compare(text[a:b], among)]
         return found
 
-    def windows(self, text: str | None, units: list[tuple[str, str, int, int, float]]) -> list[tuple[str, str, int, int, float]]:
-        """(template, unit, start, end, dice) of the text's windows like a template, outside of the units found like it."""
+    def windows(self, text: str | None, units: list[tuple[str, str, int, int, float]], among: set[str] | None = None) -> list[tuple[str, str, int, int, float]]:
+        """(template, unit, start, end, dice) of the text's windows like a template (of those among), outside of the units found like it."""
         if not text:
             return []
-        lowered = _lower(text)
-        if not any(a in lowered for a in self.anchors):
-            return []
-        words = [(m.group(), *m.span()) for m in _WORD.finditer(lowered)]
+        words = [(m.group(), *m.span()) for m in _WORD.finditer(_lower(text))]
         pairs = [(v[0], w[0]) for v, w in zip(words, words[1:], strict=False)]
         own = set(pairs)
         found: list[tuple[str, str, int, int, float]] = []
         before = None
         for name, theirs, low, _ in self.bounds:
-            if len(own) < low or len(own & theirs) < low:
+            if among is not None and name not in among or len(own) < low or len(own & theirs) < low:
                 continue
             if before is None:  # where each bigram was last
                 last: dict[tuple[str, str], int] = {}
@@ -220,10 +248,12 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: floa
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = Matcher(templates, threshold)
         for batch in batches:
-            found = []
-            for i, t in enumerate(batch.column(1).to_pylist()):
-                units = matcher.scan(t)
-                found += [(i, *hit) for hit in units + matcher.windows(t, units)]
+            found, texts = [], flat(batch.column(1))
+            for a, b in slices(texts):
+                for i, among in sorted(matcher.candidates(texts.slice(a, b - a)).items()):
+                    t = texts[a + i].as_py()
+                    units = matcher.scan(t, among)
+                    found += [(a + i, *hit) for hit in units + matcher.windows(t, units, among)]
             ids = batch.column(0).take(pa.array([f[0] for f in found], pa.int64()))
             kinds = (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.float64())
             rest = [pa.array([f[k + 1] for f in found], kind) for k, kind in enumerate(kinds)]
