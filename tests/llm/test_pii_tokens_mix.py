@@ -135,3 +135,10 @@ def test_mix_reaches_its_targets(spark):
     assert out.columns == docs.columns and out.count() == sum(r.copies for r in rows)
     assert mixing.copies(docs.limit(0)).count() == 0
     assert {r.copies for r in mixing.copies(docs_of(spark)).collect()} <= {0, 1, 2, 3}
+
+
+def test_mix_keeps_clashing_columns(spark):
+    docs = spark.createDataFrame([(i, "one two three " * (i + 1), "ab"[i % 2], i, "x") for i in range(12)], "doc_id long, text string, source string, VG_MIX int, copies string")
+    out = mixing.mix(docs)
+    rows = out.collect()
+    assert out.columns == docs.columns and rows and all(r.VG_MIX == r.doc_id and r.copies == "x" for r in rows)

@@ -245,12 +245,43 @@ def test_quality_learns_from_held_in_rows_only(spark):
 def test_gradients_match_differences():
     rng = np.random.default_rng(0)
     x, begin = quality.passages(pa.array(["a b c " * 40, "X!! y", "", "one two three four"], pa.large_string()))
-    assert begin.tolist() == [0, 3, 4, 5, 6] and x.shape == (6, len(quality.FEATURES))
-    x = (x + rng.normal(0, 0.1, x.shape)).astype(np.float32)
-    label = np.array([1, 0, 0, 1], np.float32)
-    loss = lambda m: -np.mean(label * np.log(m.score(x, begin)) + (1 - label) * np.log(1 - m.score(x, begin)))
-    losses = [loss(quality.train(x, begin, label, steps=k)) for k in (1, 10, 60)]
-    assert losses[0] > losses[1] > losses[2]
+    assert begin.tolist() == [0, 3, 4, 5, 6] and x.shape == (6, quality.INPUTS)
+    x = x + rng.normal(0, 0.1, x.shape)
+    label, weight = np.array([1.0, 0, 0, 1]), np.array([0.1, 0.4, 0.3, 0.2])
+    model = quality.start(x)
+    model.w = [np.asarray(w + rng.normal(0, 0.3, w.shape)) for w in model.w]
+    for k, g in enumerate(quality.gradients(model, x, begin, label, weight)):
+        for place in [tuple(rng.integers(0, s) for s in g.shape) for _ in range(5)]:
+            was, both = model.w[k][place], []
+            for step in (1e-5, -1e-5):
+                w = model.w[k].copy()
+                w[place] = was + step  # place is () for the last one
+                both.append(quality.loss(quality.Model(model.mean, model.scale, [*model.w[:k], w, *model.w[k + 1 :]]), x, begin, label, weight))
+            assert abs((both[0] - both[1]) / 2e-5 - g[place]) < 1e-6
+
+
+def test_the_encoder_sees_words():
+    """Labels that follow one word of a passage among many, with the same characters all over."""
+    rng = random.Random(12)
+    texts, label = [], []
+    for k in range(600):
+        words = ["".join(rng.sample("abcdefgh", 5)) for _ in range(rng.choice([30, 150]))]
+        label.append(k % 2)
+        texts.append(" ".join(words[:10] + (["abcde"] if k % 2 else ["edcba"]) * 6 + words[10:]))
+    x, begin = quality.passages(pa.array(texts, pa.large_string()))
+    cut = int(begin[400])
+    model = quality.train(x[:cut], begin[:401], np.array(label[:400], np.float32))
+    right = (model.score(x[cut:], begin[400:] - cut) >= 0.5) == (np.array(label[400:]) == 1)
+    assert right.mean() >= 0.9
+
+
+def test_quality_of_ties_and_a_very_long_text():
+    long = "some good words here . " * 100_000
+    x, begin = quality.passages(pa.array([long, long, "", "a"], pa.large_string()))
+    assert begin[1] == -(-500_000 // quality.PASSAGE) and np.isfinite(x).all()
+    model = quality.train(x[:50], np.array([0, 25, 50]), np.array([1.0, 0.0], np.float32), steps=3)
+    scores = model.score(x, begin)
+    assert abs(scores[0] - scores[1]) < 1e-6 and np.isfinite(scores).all()
 
 
 def test_pipeline_stages(spark, tmp_path):

@@ -30,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import flat, offsets_of, slices
+from .common import column, flat, offsets_of, slices, unused
 
 PASSAGE, STEP, WIDTHS = 64, 32, (1, 3)
 #: Items in a block of the query set.
@@ -279,7 +279,7 @@ def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs that hold no item, with their columns."""
     out, names = docs, docs.columns
     for query in prepare(docs, benchmark):
-        rows = out.select(*[F.col(f"`{c}`") for c in names], F.col("text").cast("string").alias("vg_text"))
+        rows = out.select(*[column(c) for c in names], F.col("text").cast("string").alias(unused(docs, "vg_text")[0]))
 
         def keep(batches: Iterator[pa.RecordBatch], query=query) -> Iterator[pa.RecordBatch]:
             for batch in batches:

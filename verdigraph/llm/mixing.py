@@ -6,6 +6,12 @@ along that order from one offset drawn for the source, and a document is emitted
 each whole number that its stretch crosses. In order of size the words taken stay near the
 target, as a document that is passed over has a neighbour of about its size.
 
+Sources are ordered among themselves, and their targets settled, in windows over one row for
+each source: sources are as many as corpora are (dozens to some hundred thousand), not as
+documents. The table of groups that is broadcast has SALTS * (size classes) rows for each
+source at most, about 200 classes for sizes up to 2^25 words; Spark broadcasts it only where
+it is below the session's threshold.
+
 The order is (size class, salt, size, doc_id): a source of any size is dealt out over
 (classes x salts) groups, whose counts are summed up before anything is ranked, so that no
 task holds a source.
@@ -20,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, column, unused
 
 SALTS = 64
 #: No document is taken more often than this, and no source's target is more than this times its size.
@@ -70,11 +76,11 @@ def copies(docs: DataFrame, seed: int = 7, carry: bool = False) -> DataFrame:
     """doc_id, size, source_size, target, copies of every row of docs (doc_id, text, source).
 
     With carry, the columns of docs come first, under their own names, and the five others
-    are one struct named by the caller's absence of it: "vg_mix".
+    are one struct, of the first name like "vg_mix" that docs doesn't have.
     """
     scratch = Scratch(docs.sparkSession, "mix")
     size = word_count(F.col("text"))
-    own = [F.col(c).alias(f"in_{i}") for i, c in enumerate(docs.columns)] if carry else []
+    own = [column(c).alias(f"in_{i}") for i, c in enumerate(docs.columns)] if carry else []
     salt = (_hex(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), 4) % SALTS).cast("int")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size.alias("size"), salt.alias("salt"), F.length("text").alias("n"), *own)
     rows = rows.withColumn("class", _size_class(F.col("size")))
@@ -92,15 +98,16 @@ def copies(docs: DataFrame, seed: int = 7, carry: bool = False) -> DataFrame:
     n = F.least(F.floor(rank * each + offset) - F.floor((rank - 1) * each + offset), F.lit(MOST))
     out = [F.col("doc_id"), F.col("size"), F.col("source_size"), F.col("target"), n.cast("long").alias("copies")]
     if carry:
-        return found.select(*[F.col(f"in_{i}").alias(c) for i, c in enumerate(docs.columns)], F.struct(*out).alias("vg_mix"))
+        return found.select(*[F.col(f"in_{i}").alias(c) for i, c in enumerate(docs.columns)], F.struct(*out).alias(unused(docs, "vg_mix")[0]))
     return found.select(*out)
 
 
 def mix(docs: DataFrame, seed: int = 7) -> DataFrame:
     """The mix: rows of docs, each as often as it is taken."""
-    taken = copies(docs, seed, carry=True)
-    emitted = taken.where("vg_mix.copies > 0").withColumn("vg_mix", F.explode(F.sequence(F.lit(1), F.col("vg_mix.copies").cast("int"))))
-    return emitted.select(*[F.col(f"`{c}`") for c in docs.columns])
+    (name,) = unused(docs, "vg_mix")
+    n = column(name)["copies"]
+    emitted = copies(docs, seed, carry=True).where(n > 0).withColumn(name, F.explode(F.sequence(F.lit(1), n.cast("int"))))
+    return emitted.select(*[column(c) for c in docs.columns])
 
 
 #: The same in DuckDB, statement for statement.
