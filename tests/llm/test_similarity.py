@@ -145,24 +145,66 @@ def test_fingerprints(spark):
     assert lone.near_next == 1.0
 
 
-def test_fingerprint_hashes_follow_their_definition(spark):
-    n, text = 400, "b a c b zz"
-    docs = spark.createDataFrame([(i, text if i < 20 else "zz") for i in range(n)], "doc_id long, text string")
-    got = {r.doc_id: r.fingerprint for r in fingerprints.fingerprints(docs).collect()}
-
-    def signed(x):
-        return x - 2**64 if x >= 2**63 else x
-
-    terms = sorted(signed(xxhash.xxh64_intdigest(w.encode(), 42)) for w in "abc")
-    out = []
-    for c in fingerprints._patterns():
-        level = [(lambda x: bin(x ^ (x - 1) if x else 2**64 - 1).count("1"))(((h ^ c) % 2**64) >> 1) for h in terms]
-        top, seed = max(level), 42
-        seed = xxhash.xxh64_intdigest(int(top).to_bytes(4, "little"), seed)
-        for h in (h for h, lv in zip(terms, level, strict=True) if lv == top):
-            seed = xxhash.xxh64_intdigest((h % 2**64).to_bytes(8, "little"), seed)
-        out.append(f"{seed:X}")
-    assert got[3] == ".".join(out) and got[3] != got[30]
+def signed(x):
+    return x - 2**64 if x >= 2**63 else x
+
+
+def hash_of(values):
+    """Spark's xxhash64 of an array of whole numbers."""
+    seed = 42
+    for h in values:
+        seed = xxhash.xxh64_intdigest((h % 2**64).to_bytes(8, "little"), seed)
+    return signed(seed)
+
+
+def fingerprints_by_definition(docs):
+    """(fingerprint, edited fingerprint, near_edited, near_next) of each (doc_id, text), by plain loops."""
+    terms = lambda t: sorted({signed(xxhash.xxh64_intdigest(w.encode(), 42)) for w in re.split(r"[\x20\x09-\x0D]+", t.lower()) if w})
+    order = sorted(docs)
+    count, groups, likes = {}, {}, set()
+    for _, t in order:
+        own = terms(t)
+        like = hash_of(own[: fingerprints.SKETCH])
+        likes.add(like)
+        for h in own:
+            count[h] = count.get(h, 0) + 1
+            groups.setdefault(h, set()).add(like)
+    n = len(order)
+    band = {h for h, c in count.items() if c > fingerprints.RAREST * n and (c <= max(fingerprints.COMMONEST * n, 2) or len(groups[h]) <= fingerprints.COMMONEST * len(likes))}
+
+    def prints(t):
+        own = terms(t) or ([signed(xxhash.xxh64_intdigest(t.encode(), 42))] if t else [])
+        kept = [h for h in own if h in band] or own
+        out = [hash_of(kept) if kept else 0]
+        for c in fingerprints._patterns():
+            for level in range(1, fingerprints.LEVELS + 1):
+                some = [h for h in kept if ((h ^ c) & (2**level - 1)) == 0]
+                out.append(hash_of(some) if some else 0)
+        return out
+
+    def like(a, b):
+        weight = [2 ** ((k - 1) % fingerprints.LEVELS + 1 if k else 0) for k in range(len(a))]
+        of = sum(w for w, x, y in zip(weight, a, b, strict=True) if x or y)
+        return sum(w for w, x, y in zip(weight, a, b, strict=True) if x and x == y) / of if of else 1.0
+
+    found = {}
+    for k, (i, t) in enumerate(order):
+        after = order[(k + 1) % n][1]
+        a, b, c = prints(t), prints(t[: len(t) - len(t) // 2] + after[: len(t) // 2]), prints(after)
+        found[i] = (".".join(f"{x % 2**64:X}" for x in a), ".".join(f"{x % 2**64:X}" for x in b), like(a, b), like(a, c))
+    return found
+
+
+def test_fingerprints_are_those_of_their_definition(spark, monkeypatch):
+    monkeypatch.setattr(fingerprints, "BATCH", 64)  # more than one pass over the groups
+    rng = random.Random(9)
+    docs = [(i * 5 % 211, " ".join(rng.choices(WORDS[: rng.choice([30, 400])], k=rng.choice([0, 2, 30, 150])))) for i in range(150)]
+    docs += [(300 + i, "n m o p " + " ".join(rng.choices(WORDS, k=2))) for i in range(60)] + [(400, " \t"), (401, ""), (402, "ÄÖ äö"), (403, "word " * 30000)]
+    got = {r.doc_id: (r.fingerprint, r.edited_fingerprint, r.near_edited, r.near_next) for r in fingerprints.fingerprints(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    want = fingerprints_by_definition(docs)
+    assert got.keys() == want.keys()
+    for i in want:
+        assert got[i][:2] == want[i][:2] and abs(got[i][2] - want[i][2]) < 1e-12 and abs(got[i][3] - want[i][3]) < 1e-12, i
 
 
 def test_the_lexicon_has_rare_terms_and_no_others(spark):

@@ -8,13 +8,16 @@ distinct terms a document) / RAREST terms can be so frequent, the lexicon's size
 whatever the corpus' is; it travels as 2^BITS buckets of whole term hashes, the value of a
 scalar subquery over a small table, and only its own terms count as inside.
 
-A text's terms in the lexicon are made distinct and sorted (by hash), and hashed once for
-each of FAMILIES families of randomised sub-lexicons. A family's sub-lexicons halve from one
-to the next, as more low bits of a term's hash must agree with the family's pattern; a text
-is hashed by the smallest of them that has any of its terms, so that few terms decide each
-hash, whatever the text's length, and those far from a change stay equal. The likeness of two
-fingerprints is the share of equal hashes. A text without terms of the lexicon keeps all its
-terms; one of white space only is its own single term; the empty text has none.
+A text's terms in the lexicon are made distinct and sorted (by hash), and hashed whole and
+once for each of the fixed random subsets of the lexicon: FAMILIES families of LEVELS subsets,
+each a random half of the one before. Dense subsets tell texts apart that differ in a word;
+sparse ones stay equal where much has changed. The likeness of two fingerprints is the share
+of equal hashes among the subsets that have terms of either text, a subset of level l weighed
+by 2^l, which nears the share of terms in common. A text without terms of the lexicon keeps
+all its terms; one of white space only is its own single term; the empty text has none.
+
+Ranges of doc_id, RANGE documents each and 20,000 at most, bring neighbours together; beyond
+that many a range grows, and Spark's sort and window of it spill.
 
 Defined results: a null text is empty; null doc_ids come first; rows of equal doc_id are
 ordered by text and each is a document; a single document is its own next one; an empty
@@ -32,7 +35,9 @@ from .common import Scratch
 
 BITS = 16
 RAREST, COMMONEST = 0.0005, 0.2
-FAMILIES = 16
+FAMILIES, LEVELS = 6, 12
+#: Very frequent terms whose groups are counted in one pass.
+BATCH = 2048
 #: Texts whose so many least term hashes are equal count as one for COMMONEST: copies, and most near copies.
 SKETCH = 4
 #: Documents in a range of doc_ids whose neighbours are found together.
@@ -46,20 +51,47 @@ def _terms(text: Column) -> Column:
     return F.array_distinct(F.transform(F.filter(F.split(F.lower(text), _SPACES), lambda w: w != ""), lambda w: F.xxhash64(w)))
 
 
+def _array(values: list[int]) -> str:
+    """SQL: these numbers as one folded constant."""
+    return f"cast(split('{','.join(map(str, values))}', ',') as array<bigint>)"
+
+
+def _groups(terms: DataFrame, common: list[int]) -> dict[int, int]:
+    """In how many groups of like documents each of these terms is, and (None) how many groups there are.
+
+    Documents carry their common terms as bits, which are joined within a group before and in the shuffle.
+    """
+    found: dict[int, int] = {}
+    for k in range(0, max(1, len(common)), BATCH):
+        some = common[k : k + BATCH]
+        own = terms.withColumn("at", F.expr(f"transform(array_intersect({_array(some)}, ts), t -> array_position({_array(some)}, t) - 1)") if some else F.expr("array(-1L)"))
+        words = range(-(-len(some) // 64))
+        bits = [F.expr(f"aggregate(at, 0L, (a, i) -> if(i div 64 = {j}, a | shiftleft(1L, cast(i % 64 as int)), a))").alias(f"w{j}") for j in words]
+        groups = own.select("likes", *bits).groupBy("likes").agg(F.count("*").alias("docs"), *[F.bit_or(f"w{j}").alias(f"w{j}") for j in words])
+        totals = groups.agg(F.count("*").alias("n"), *[F.sum(F.expr(f"cast(shiftrightunsigned(w{i // 64}, {i % 64}) & 1 as long)")).alias(f"t{i}") for i in range(len(some))]).first()
+        found[None] = totals.n
+        found.update({t: totals[f"t{i}"] or 0 for i, t in enumerate(some)})
+    return found
+
+
 def _lexicon(rows: DataFrame, scratch: Scratch) -> Column:
     """The band's terms as one value: an array of 2^BITS buckets, a term in the bucket of its low bits.
 
-    Terms are counted over all documents. The value is a scalar subquery over a table in the
-    shared folder, so that no plan's text holds it.
+    Terms are counted over all documents, those that are too frequent over the groups of like
+    documents as well: no more than (mean distinct terms a document) / COMMONEST. The value is a
+    scalar subquery over a table in the shared folder, so that no plan's text holds it.
     """
     n = rows.count()
-    terms = rows.select(F.array_sort(_terms(F.col("text"))).alias("ts")).select("ts", F.xxhash64(F.slice("ts", 1, SKETCH)).alias("likes"))
-    # the null term is in every document, so it counts the groups
-    terms = terms.select("likes", F.explode(F.array_append("ts", F.lit(None).cast("long"))).alias("t"))
-    df = terms.groupBy("t", "likes").agg(F.count("*").alias("df")).groupBy("t").agg(F.sum("df").alias("df"), F.count("*").alias("groups"))
-    df = scratch.save(df.where((F.col("df") > RAREST * n) | F.col("t").isNull()), "terms")
-    groups = df.where("t is null").agg(F.max("groups")).first()[0] or 0
-    band = df.where(F.col("t").isNotNull() & ((F.col("df") <= max(COMMONEST * n, 2)) | (F.col("groups") <= COMMONEST * groups))).select("t")
+    terms = rows.select(F.array_sort(_terms(F.col("text"))).alias("ts"))
+    df = terms.select(F.explode("ts").alias("t")).groupBy("t").agg(F.count("*").alias("df"))
+    df = scratch.save(df.where(F.col("df") > RAREST * n), "terms")
+    common = [r.t for r in df.where(F.col("df") > max(COMMONEST * n, 2)).collect()]
+    if common:
+        groups = _groups(terms.select("ts", F.xxhash64(F.slice("ts", 1, SKETCH)).alias("likes")), sorted(common))
+        common = [t for t in common if groups[t] > COMMONEST * groups[None]]
+    band = df.select("t")
+    if common:
+        band = band.where(~F.array_contains(F.expr(_array(common)), F.col("t")))
     held = band.groupBy(F.col("t").bitwiseAND(F.lit(2**BITS - 1)).alias("id")).agg(F.collect_list("t").alias("ts"))
     every = rows.sparkSession.range(0, 2**BITS, 1, 1).join(held, "id", "left")
     every = every.agg(F.array_sort(F.collect_list(F.struct("id", F.coalesce("ts", F.array().cast("array<bigint>")).alias("ts")))).alias("all"))
@@ -74,23 +106,26 @@ def _kept(text: Column, lexicon: Column) -> Column:
 
 
 def _patterns() -> list[int]:
-    """One for each family of sub-lexicons: random, but unlike in their low bits."""
+    """One for each family of subsets: its subset of level l has the terms whose l low bits are the pattern's."""
     bits = random.Random(6).getrandbits
-    return [(bits(58) << 5 | s << 1) % 2**63 for s in range(FAMILIES)]
+    return [bits(63) for _ in range(FAMILIES)]
 
 
 def _hashes(kept: str) -> str:
-    """SQL: one hash for each family, of the terms in its smallest sub-lexicon that has any of them."""
-    x = "shiftrightunsigned(h ^ c, 1)"
-    level = f"bit_count({x} ^ ({x} - 1))"
-    patterns = ", ".join(f"{c}L" for c in _patterns())
-    one = f"transform(array(array_max(transform(k, h -> {level}))), top -> xxhash64(top, filter(k, h -> {level} = top)))[0]"
-    return f"transform(array({kept}), k -> transform(array({patterns}), c -> if(size(k) = 0, 0L, {one})))[0]"
+    """SQL: the hash of all kept terms, then each family's by level; 0 for a subset without any of them."""
+    hashed = "if(size(r) = 0, 0L, xxhash64(r))"
+    half = "filter(s.r, h -> shiftrightunsigned(h ^ c, l - 1) & 1 = 0)"
+    step = f"transform(array({half}), r -> named_struct('r', r, 'f', array_append(s.f, {hashed})))[0]"
+    family = f"aggregate(sequence(1, {LEVELS}), named_struct('r', k, 'f', cast(array() as array<bigint>)), (s, l) -> {step}, s -> s.f)"
+    whole = "transform(array(k), r -> " + hashed + ")"
+    return f"transform(array({kept}), k -> concat({whole}, flatten(transform({_array(_patterns())}, c -> {family}))))[0]"
 
 
 def likeness(a: str, b: str) -> str:
-    """SQL: the share of equal hashes."""
-    return f"cast(size(filter(zip_with({a}, {b}, (x, y) -> x = y), f -> f)) as double) / {FAMILIES}"
+    """SQL: the weighed share of equal hashes among those that aren't 0 in both; 1 where all are."""
+    level = f"shiftleft(1L, if(i = 0, 0, (i - 1) % {LEVELS} + 1))"
+    total = f"aggregate(zip_with(transform({a}, (x, i) -> named_struct('x', x, 'w', {level})), {b}, (p, y) -> named_struct('w', if(p.x = 0 and y = 0, 0L, p.w), 'e', if(p.x = y and y != 0, p.w, 0L))), named_struct('w', 0L, 'e', 0L), (s, p) -> named_struct('w', s.w + p.w, 'e', s.e + p.e))"
+    return f"transform(array({total}), s -> if(s.w = 0, 1D, cast(s.e as double) / cast(s.w as double)))[0]"
 
 
 def _with_next(rows: DataFrame, lexicon: Column, scratch: Scratch) -> DataFrame:
@@ -107,7 +142,7 @@ def _with_next(rows: DataFrame, lexicon: Column, scratch: Scratch) -> DataFrame:
         cuts = sorted(set(rows.select(F.percentile_approx("doc_id", [k / parts for k in range(1, parts)], 20 * parts)).first()[0] or []))
     part = F.lit(1)
     if cuts:
-        part = F.expr(_search(f"cast(split('{','.join(map(str, cuts))}', ',') as array<bigint>)", len(cuts))) + 1
+        part = F.expr(_search(_array(cuts), len(cuts))) + 1
     dealt = rows.withColumn("part", F.when(F.col("doc_id").isNull(), F.lit(0)).otherwise(part).cast("int"))
     firsts = dealt.groupBy("part").agg(F.min("doc_id").alias("first_id"))
     before = F.lag("part").over(Window.orderBy("part"))
