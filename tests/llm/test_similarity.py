@@ -252,6 +252,55 @@ def test_leaks_are_found_and_clean_documents_stay(spark):
     assert decontamination.clean(df, bench.limit(0)).count() == len(docs) and decontamination.leaks(df.limit(0), bench).count() == 0
 
 
+def test_recall_and_candidates_of_a_full_block(spark):
+    rng = np.random.default_rng(11)
+    share = 1 / (np.arange(6000) + 8.0)
+    draw = lambda k: [f"t{i}" for i in rng.choice(6000, k, p=share / share.sum())]
+    items = [draw(int(rng.integers(20, 60))) for _ in range(decontamination.PASSAGES)]
+
+    def swapped(words):
+        parts = [words[k : k + 4] for k in range(0, len(words), 4)]
+        for k in range(0, len(parts) - 1, 2):
+            parts[k], parts[k + 1] = parts[k + 1], parts[k]
+        return [w for p in parts for w in p]
+
+    forms = {
+        "whole": lambda w: w, "fourth": lambda w: [x if k % 4 else draw(1)[0] for k, x in enumerate(w)],
+        "third": lambda w: [x if k % 3 else draw(1)[0] for k, x in enumerate(w)], "swapped": swapped,
+    }
+    docs, truth = [(i, " ".join(draw(300))) for i in range(60)], {}
+    for name, form in forms.items():
+        for _ in range(40):
+            k = int(rng.integers(len(items)))
+            truth[len(docs)] = (name, k)
+            docs.append((len(docs), " ".join(draw(int(rng.integers(0, 200))) + form(items[k]) + draw(int(rng.integers(0, 200))))))
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    bench = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(items)], "item_id long, text string")
+    (group,) = decontamination.prepare(df, bench)
+    tally = [0]
+    found = {(d, i) for d, i, *_ in decontamination.search(group, pa.array([t for _, t in docs], pa.large_string()), tally)}
+    for name in forms:
+        own = {(d, k) for d, (n, k) in truth.items() if n == name}
+        assert len(own & found) >= (0.75 if name == "third" else 0.9) * len(own), (name, len(own & found))
+    assert not {d for d, _ in found} & set(range(60)), "clean documents"
+    assert tally[0] < 20 * len(docs)
+
+
+def test_blocks_and_groups_share_the_search(spark, monkeypatch):
+    monkeypatch.setattr(decontamination, "PASSAGES", 2)
+    monkeypatch.setattr(decontamination, "GROUP", 2)
+    items, docs, truth = leaky(random.Random(9))
+    rng = random.Random(10)
+    items.append(" ".join(rng.choices([f"long{i}" for i in range(900)], k=1000)))  # over many blocks
+    docs += [(700, "v1 v2 " + items[4]), (701, " ".join(items[4].split()[300:420]))]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    assert [len(g.queries) for g in decontamination.prepare(df, bench)] == [2] * 5 + [1]
+    got = {(r.doc_id, r.item_id) for r in decontamination.leaks(df, bench).collect()}
+    assert got == truth | {(700, 4), (701, 4)}
+    assert {r.doc_id for r in decontamination.clean(df, bench).collect()} == set(range(40))
+
+
 def test_common_weight_is_the_heaviest_common_subsequence():
     rng = np.random.default_rng(1)
     for _ in range(60):
