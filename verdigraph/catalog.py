@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from .functions import text as T
 from .functions import units
 from .operators import aggregate, graph, impact, linking, matrix, search
-from .plans.starview import CTES, DEPTH, Star
+from .plans.starview import CTES, DEPTH, INPUTS, Star
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -58,7 +58,9 @@ def _scaling(s: Star) -> DataFrame:
 
 
 def _inventory(s: Star) -> DataFrame:
-    return matrix.inventory(s.bio, _scaling(s))
+    """(root, flow_id, q) of all roots, by the transposed system: activities x flows, then one join."""
+    seed = s.bio.select("act_id", F.col("flow_id").alias("key"), F.col("v").alias("w"))
+    return impact.of_roots(s.roots, matrix.intensities(seed, s.tech, DEPTH), "flow_id", "q")
 
 
 def _weights(s: Star) -> DataFrame:
@@ -66,7 +68,8 @@ def _weights(s: Star) -> DataFrame:
 
 
 def _scores(s: Star) -> DataFrame:
-    return impact.scores(_inventory(s), _weights(s))
+    found = matrix.intensities(impact.per_unit(s.bio, _weights(s)), s.tech, DEPTH)
+    return impact.of_roots(s.roots, found, "method", "score")
 
 
 #: Factors with their unit conversion, as the oracle states it.
@@ -97,7 +100,7 @@ def _(s: Star):
 
 @query("mat_scaling_all_roots", "select root, act_id, round(x, 6) as x from scaling")
 def _(s: Star):
-    return rounded(_scaling(s), "x")
+    return rounded(_scaling(s).drop("depth"), "x")
 
 
 @query("mat_demand", "select root, act_id, x from x0")
@@ -116,6 +119,11 @@ def _(s: Star):
     return rounded(_inventory(s), "q")
 
 
+@query("mat_inventory_product", "select root, flow_id, round(q, 6) as q from inventory")
+def _(s: Star):
+    return rounded(matrix.inventory(s.bio, _scaling(s)), "q")
+
+
 @query("mat_solve_suppliers", ", s as (select 'S' || s_suppkey as root from supplier) select root, root as act_id, 1.0::double as x from s union all select root, sup, round(v, 6) from s join tech on con = root union all select root, b.sup, round(a.v * b.v, 6) from s join tech a on a.con = root join tech b on b.con = a.sup")
 def _(s: Star):
     dep = s.tech.where("con like 'S%' or con like 'N%'")
@@ -138,12 +146,12 @@ def _(s: Star):
     "mat_substitution",
     """, newtech as (select sup, con, sum(v) as v from (select case when con like 'N%' then 'R0' else sup end as sup, con, v from tech) group by 1, 2),
     y4 as (select root, sup as act_id, sum(x * v) as x from x3 join newtech on con = act_id group by 1, 2)
-    select root, act_id, round(x, 6) as x from y4""",
+    select root, act_id, round(sum(x), 6) as x from (select * from x0 union all select * from x1 union all select * from x2 union all select * from x3 union all select * from y4) group by 1, 2""",
 )
 def _(s: Star):
     changes = s.tech.where("con like 'N%' and sup != 'R0'").selectExpr("con", "sup as old", "'R0' as new")
     found = matrix.solve_levels(s.roots, matrix.substitute(s.tech, changes), DEPTH)
-    return rounded(found.where("act_id like 'R%'"), "x")
+    return rounded(found.drop("depth"), "x")
 
 
 # ---- impacts --------------------------------------------------------------------------------
@@ -197,35 +205,34 @@ def _(s: Star):
 
 @query("grf_depths", "select root, act_id, min(d) as depth from (select root, act_id, 0 as d from x0 union all select root, act_id, 1 from x1 union all select root, act_id, 2 from x2 union all select root, act_id, 3 from x3 union all select root, act_id, 4 from x4) group by 1, 2")
 def _(s: Star):
-    return graph.walk(s.roots, s.tech, "con", "sup", DEPTH)
+    return graph.walk(s.roots, s.tech, "con", "sup", DEPTH, cyclic=False)
 
 
 @query("grf_supply_chain", ", d as (select root, act_id, min(d) as depth from (select root, act_id, 1 as d from x1 union all select root, act_id, 2 from x2 union all select root, act_id, 3 from x3 union all select root, act_id, 4 from x4) group by 1, 2), u as (select root, sup as act_id, count(*) as consumers from scaling join tech on con = act_id where x <> 0 group by 1, 2) select s.root, s.act_id, a.name, a.location, round(s.x, 6) as quantity, d.depth, coalesce(u.consumers, 0) as consumers from scaling s join activities a using (act_id) join d using (root, act_id) left join u using (root, act_id) where abs(s.x) > 0 and s.root <> s.act_id")
 def _(s: Star):
-    depths = graph.walk(s.roots, s.tech, "con", "sup", DEPTH)
-    return rounded(graph.supply_chain(_scaling(s), depths, s.activities, s.tech), "quantity")
+    return rounded(graph.supply_chain(_scaling(s), s.activities, s.tech), "quantity")
 
 
-@query("grf_consumers", ", s as (select act_id as root, act_id from activities where act_id like 'R%' or act_id like 'N%'), c1 as (select distinct root, con as act_id from s join tech on sup = act_id), c2 as (select distinct root, con as act_id from c1 join tech on sup = act_id), c3 as (select distinct root, con as act_id from c2 join tech on sup = act_id) select root, act_id, min(d) as depth from (select root, act_id, 0 as d from s union all select root, act_id, 1 from c1 union all select root, act_id, 2 from c2 union all select root, act_id, 3 from c3) group by 1, 2")
+@query("grf_consumers", ", c1 as materialized (select distinct sup as root, con as act_id from tech), c2 as materialized (select distinct root, con as act_id from c1 join tech on sup = act_id), c3 as materialized (select distinct root, con as act_id from c2 join tech on sup = act_id), c4 as (select distinct root, con as act_id from c3 join tech on sup = act_id) select root, act_id, min(d) as depth from (select root, act_id, 1 as d from c1 union all select root, act_id, 2 from c2 union all select root, act_id, 3 from c3 union all select root, act_id, 4 from c4) group by 1, 2")
 def _(s: Star):
-    roots = s.activities.where("act_id like 'R%' or act_id like 'N%'").select(F.col("act_id").alias("root"))
-    return graph.walk(roots, s.tech, "sup", "con", 3)
+    roots = s.activities.select(F.col("act_id").alias("root"))
+    return graph.walk(roots, s.tech, "sup", "con", DEPTH, cyclic=False).where("root != act_id")
 
 
 @query("grf_cutoff_nodes", ", t as (select *, sum(abs(x)) over (partition by root) as total from scaling) select root, act_id, round(x, 6) as x from t where abs(x) > total * 1.0 / 100 or act_id = root")
 def _(s: Star):
-    return rounded(graph.cutoff_nodes(_scaling(s)), "x")
+    return rounded(graph.cutoff_nodes(_scaling(s)).drop("depth"), "x")
 
 
-@query("grf_cutoff_edges", ", t as (select *, sum(abs(x)) over (partition by root) as total from scaling), k as (select root, act_id from t where abs(x) > total * 1.0 / 100 or act_id = root) select a.root, t.sup, t.con, round(t.v, 6) as v from k a join tech t on t.con = a.act_id join k b on b.root = a.root and b.act_id = t.sup")
+@query("grf_cutoff_edges", ", t as materialized (select *, sum(abs(x)) over (partition by root) as total from scaling), k as materialized (select root, act_id from t where abs(x) > total * 1.0 / 100 or act_id = root), e as materialized (select a.root, t.sup, t.con, t.v from k a join tech t on t.con = a.act_id) select e.root, e.sup, e.con, round(e.v, 6) as v from e join k b on b.root = e.root and b.act_id = e.sup")
 def _(s: Star):
     return rounded(graph.cutoff_edges(graph.cutoff_nodes(_scaling(s)), s.tech), "v")
 
 
-@query("grf_tree_filter", ", h as (select root, act_id from x3 join activities using (act_id) where name like '%A%' and act_id like 'N%'), p2 as (select distinct h.root, t.con as act_id from h join tech t on t.sup = h.act_id join x2 using (root) where x2.act_id = t.con), p1 as (select distinct p2.root, t.con as act_id from p2 join tech t on t.sup = p2.act_id join x1 on x1.root = p2.root and x1.act_id = t.con), p0 as (select distinct root, root as act_id from p1) select * from h union select * from p2 union select * from p1 union select * from p0")
+@query("grf_tree_filter", ", e1 as materialized (select x1.root, sup, con from x1 join tech on con = x1.act_id), e2 as materialized (select x2.root, sup, con from x2 join tech on con = x2.act_id), h as materialized (select distinct root, act_id from x3 join activities using (act_id) where name like '%A%'), p2 as materialized (select distinct e2.root, e2.con as act_id from h join e2 on e2.root = h.root and e2.sup = h.act_id), p1 as materialized (select distinct e1.root, e1.con as act_id from p2 join e1 on e1.root = p2.root and e1.sup = p2.act_id), p0 as (select distinct root, root as act_id from p1) select * from h union select * from p2 union select * from p1 union select * from p0")
 def _(s: Star):
     hits = s.activities.where("act_id like 'N%' and name like '%A%'").select("act_id")
-    nodes = graph.walk(s.roots, s.tech, "con", "sup", 3)
+    nodes = graph.walk(s.roots, s.tech, "con", "sup", 3, cyclic=False)
     return graph.ancestors(nodes, s.tech, hits, 3)
 
 
@@ -238,9 +245,9 @@ def _direct_rows(s: Star) -> DataFrame:
     return rows.select(F.col("act_id").alias("root"), F.col("flow_id").alias("name"), "flow_id", "unit", F.col("amount").alias("quantity"), "is_input", "is_reference", "kind", "target_name", "location", "classes")
 
 
-@query("agg_direct_by_target", "select t.con as root, coalesce(a.name, '') as key, round(sum(x.amount), 6) as quantity, count(*) as rows, 'kg' as unit, round(sum(x.amount) / t.total, 6) as share from (select 'O' || l_orderkey as con, 'P' || l_partkey as link, l_quantity / 100 as amount from lineitem) x join activities a on a.act_id = x.link join (select 'O' || l_orderkey as con, sum(l_quantity / 100) as total from lineitem group by 1) t on t.con = x.con group by t.con, a.name, t.total")
+@query("agg_direct_by_target", f"{INPUTS} select x.act_id as root, coalesce(a.name, '') as key, round(sum(x.amount), 6) as quantity, count(*) as rows, 'kg' as unit, round(case when t.total <> 0 then sum(x.amount) / t.total else 0 end, 6) as share from inputs x left join activities a on a.act_id = x.link join (select act_id, sum(amount) as total from inputs group by 1) t on t.act_id = x.act_id group by x.act_id, a.name, t.total")
 def _(s: Star):
-    rows = aggregate.keep(_direct_rows(s).where("root like 'O%'"), is_input=True, is_reference=False, kind="technosphere")
+    rows = aggregate.keep(_direct_rows(s), is_input=True, is_reference=False, kind="technosphere")
     return rounded(aggregate.reduce(rows, "target_name"), "quantity", "share")
 
 
@@ -268,9 +275,9 @@ def _(s: Star):
     return rows.groupBy("system").agg(F.count_distinct("value").alias("distinct_values"), F.count("*").alias("n"))
 
 
-@query("agg_flow_usage", "select flow_id, count(*) as uses from (select 'P' || l_partkey as flow_id from lineitem union all select 'P' || p_partkey from part union all select 'co2' from part union all select 'ch4' from orders) group by 1", star=False)
+@query("agg_flow_usage", f"{INPUTS} select flow_id, count(*) as uses from (select act_id as flow_id from activities union all select link from inputs union all select 'co2' from part union all select 'ch4' from orders union all select 'water' from supplier union all select 'land' from nation) group by 1")
 def _(s: Star):
-    return s.exchanges.where("flow_id like 'P%' or flow_id in ('co2', 'ch4')").groupBy("flow_id").agg(F.count("*").alias("uses"))
+    return s.exchanges.groupBy("flow_id").agg(F.count("*").alias("uses"))
 
 
 @query("agg_unlinked", "select 'O' || o_orderkey as act_id from orders where o_orderkey not in (select l_orderkey from lineitem)", star=False)
@@ -282,10 +289,10 @@ def _(s: Star):
 # ---- lookups, filters, windows ---------------------------------------------------------------
 
 
-@query("prj_exchange_details", "select 'O' || l_orderkey as act_id, l_linenumber as seq, 'P' || l_partkey as link, p_name as target_name, round(l_quantity / 100, 6) as amount from lineitem join part on l_partkey = p_partkey", star=False)
+@query("prj_exchange_details", f"{INPUTS} select i.act_id, seq, link, name as target_name, round(amount, 6) as amount from inputs i join activities a on a.act_id = i.link")
 def _(s: Star):
     target = s.activities.select(F.col("act_id").alias("link"), F.col("name").alias("target_name"))
-    return rounded(s.exchanges.where("act_id like 'O%' and is_input").join(target, "link").select("act_id", "seq", "link", "target_name", "amount"), "amount")
+    return rounded(s.exchanges.where("kind = 'technosphere' and is_input").join(target, "link").select("act_id", "seq", "link", "target_name", "amount"), "amount")
 
 
 @query("prj_reference_product", "select act_id, act_id as product, 1.0::double as amount, unit from activities")
@@ -295,9 +302,9 @@ def _(s: Star):
     return s.activities.select("act_id").join(found, "act_id", "left").select("act_id", F.coalesce("r.flow_id", F.lit("")).alias("product"), F.coalesce("r.amount", F.lit(1.0)).alias("amount"), F.coalesce("r.unit", F.lit("")).alias("unit"))
 
 
-@query("prj_flow_activities", "select distinct 'P' || l_partkey as flow_id, 'O' || l_orderkey as act_id from lineitem", star=False)
+@query("prj_flow_activities", f"{INPUTS} select distinct link as flow_id, act_id from inputs")
 def _(s: Star):
-    return s.exchanges.where("is_input and flow_id like 'P%'").select("flow_id", "act_id").distinct()
+    return s.exchanges.where("kind = 'technosphere' and is_input").select("flow_id", "act_id").distinct()
 
 
 @query("prj_geographies", "select location, count(*) as activities from activities group by 1")
@@ -332,10 +339,10 @@ def _(s: Star):
     return s.table("orders").select(F.concat(F.lit("O"), "o_orderkey").alias("act_id"), F.round(F.col("o_totalprice") / total * 100 + NUDGE, 6).alias("share"))
 
 
-@query("jon_explicit_links", "select 'O' || l_orderkey as act_id, l_linenumber as seq, 'P' || p_partkey as supplier from lineitem left join part on l_partkey = p_partkey", star=False)
+@query("jon_explicit_links", f"{INPUTS} select i.act_id, seq, a.act_id as supplier from inputs i left join activities a on a.act_id = i.link")
 def _(s: Star):
     known = s.activities.select(F.col("act_id").alias("supplier"))
-    return s.exchanges.where("act_id like 'O%' and is_input").join(known, F.col("link") == F.col("supplier"), "left").select("act_id", "seq", "supplier")
+    return s.exchanges.where("kind = 'technosphere' and is_input").join(known, F.col("link") == F.col("supplier"), "left").select("act_id", "seq", "supplier")
 
 
 @query("jon_compare_activities", ", a as (select sup, v from tech where con = 'P1'), b as (select sup, v from tech where con = 'P2') select coalesce(a.sup, b.sup) as key, round(coalesce(a.v, 0) - coalesce(b.v, 0), 6) as delta, case when a.sup is null then 'right_only' when b.sup is null then 'left_only' else 'matched' end as side from a full join b on a.sup = b.sup")

@@ -124,3 +124,10 @@ scaling as materialized (
   select root, act_id, sum(x) as x from (select * from x0 union all select * from x1 union all select * from x2 union all select * from x3 union all select * from x4) group by 1, 2),
 inventory as materialized (select root, flow_id, sum(v * x) as q from scaling join bio using (act_id) group by 1, 2)
 """
+
+#: Technosphere inputs one by one, to follow CTES in an oracle.
+INPUTS = """, inputs as materialized (
+  select 'O' || l_orderkey as act_id, cast(l_linenumber as int) as seq, 'P' || l_partkey as link, l_quantity / 100 as amount from lineitem
+  union all select 'P' || a.l_partkey, cast(a.l_suppkey as int), 'S' || a.l_suppkey, a.q / b.total from (select l_partkey, l_suppkey, sum(l_quantity) as q from lineitem group by 1, 2) a join (select l_partkey, sum(l_quantity) as total from lineitem group by 1) b on a.l_partkey = b.l_partkey
+  union all select 'S' || s_suppkey, 1, 'N' || s_nationkey, abs(s_acctbal) / 10000 from supplier
+  union all select 'N' || n_nationkey, 1, 'R' || n_regionkey, 0.5 from nation)"""
