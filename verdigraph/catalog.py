@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from .functions import text as T
 from .functions import units
-from .operators import aggregate, graph, impact, linking, matrix, search
+from .operators import aggregate, graph, impact, linking, lookups, matrix, multidb, paging, search, synonyms, tree
 from .plans.starview import CTES, DEPTH, INPUTS, Star
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -393,7 +393,7 @@ def _(s: Star):
 
 # ---- search ----------------------------------------------------------------------------------
 
-_WORDS = r"words as materialized (select doc_id, unnest(string_split(trim(regexp_replace(translate(lower(text), 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy'), '[^\p{L}\p{N}]+', ' ', 'g')), ' ')) as term from documents), post as materialized (select doc_id, term, count(*) as tf from words where term <> '' group by 1, 2)"
+_WORDS = r"words as materialized (select doc_id, unnest(string_split(trim(regexp_replace(strip_accents(lower(text)), '[^\p{L}\p{N}]+', ' ', 'g')), ' ')) as term from documents), post as materialized (select doc_id, term, count(*) as tf from words where term <> '' group by 1, 2)"
 
 
 def _texts(s: Star) -> DataFrame:
@@ -407,7 +407,7 @@ def _(s: Star):
 
 @query(
     "sch_bm25",
-    f"""with {_WORDS}, q as (select item_id as query, term from (select item_id, unnest(string_split(trim(regexp_replace(translate(lower(text), 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy'), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')), ' ')) as term from benchmark) where term <> '' group by 1, 2),
+    f"""with {_WORDS}, q as (select item_id as query, term from (select item_id, unnest(string_split(trim(regexp_replace(strip_accents(lower(text)), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')), ' ')) as term from benchmark) where term <> '' group by 1, 2),
     df as (select term, count(*) as df from post group by 1), dl as (select doc_id, sum(tf) as dl from post group by 1), st as (select (select count(*) from documents) as n, (select sum(dl) from dl) / (select count(*) from documents) as mean)
     select query, doc_id as doc, round(sum(ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / mean))), 6) as score from post join q using (term) join df using (term) join dl using (doc_id), st group by 1, 2""",
     star=False,
@@ -473,3 +473,197 @@ def _(s: Star):
     asked = s.table("lineitem")
     known = s.table("part").where("p_size > 10").selectExpr("p_partkey", "concat('P', p_partkey) as supplier")
     return linking.completeness(asked.join(known, F.col("l_partkey") == F.col("p_partkey"), "left"), asked)
+
+
+# ---- databases that need each other -----------------------------------------------------------
+
+
+def _databases(s: Star) -> dict[str, multidb.Database]:
+    """Orders and parts are database main; suppliers, nations and regions are dep."""
+    main = s.tech.where("sup like 'P%'")
+    links = s.tech.where("con like 'P%'").selectExpr("con", "'dep' as source_db", "sup", "v")
+    bio = lambda *kinds: s.bio.where(" or ".join(f"act_id like '{k}%'" for k in kinds))
+    none = links.where("false")
+    return {"main": multidb.Database(main, bio("O", "P"), links, 1), "dep": multidb.Database(s.tech.where("con like 'S%' or con like 'N%'"), bio("S", "N", "R"), none, 2)}
+
+
+def _demand(s: Star) -> DataFrame:
+    return s.roots.select("root", F.col("root").alias("act_id"), F.lit(1.0).alias("amount"))
+
+
+@query("mat_multidb_scaling", "select root, case when act_id like 'O%' or act_id like 'P%' then 'main' else 'dep' end as db, act_id, round(x, 6) as x from scaling")
+def _(s: Star):
+    return rounded(multidb.solve(_databases(s), "main", _demand(s)), "x")
+
+
+@query("agg_multidb_inventory", "select root, flow_id, round(q, 6) as q from inventory")
+def _(s: Star):
+    found = _databases(s)
+    return rounded(multidb.inventory(found, multidb.solve(found, "main", _demand(s))), "q")
+
+
+@query(
+    "mat_cross_substitution",
+    """, newtech as materialized (select sup, con, sum(v) as v from (select case when con like 'P%' then 'S1' when con like 'N%' then 'P1' else sup end as sup, con, v from tech) group by 1, 2),
+    y1 as (select root, sup as act_id, sum(x * v) as x from x0 join newtech on con = act_id group by 1, 2), y2 as (select root, sup as act_id, sum(x * v) as x from y1 join newtech on con = act_id group by 1, 2),
+    y3 as (select root, sup as act_id, sum(x * v) as x from y2 join newtech on con = act_id group by 1, 2)
+    select root, case when act_id like 'O%' or act_id like 'P%' then 'main' else 'dep' end as db, act_id, round(x, 6) as x from (select * from x0 union all select * from y1 union all select * from y2 union all select * from y3)""",
+)
+def _(s: Star):
+    """Every part's suppliers become S1 (a link for a link), every nation's region is left out of dep by a change of supplier within it."""
+    found = _databases(s)
+    parts = s.tech.where("con like 'P%'").selectExpr("'main' as con_db", "con", "'dep' as old_db", "sup as old", "'dep' as new_db", "'S1' as new")
+    nations = s.tech.where("con like 'N%'").selectExpr("'dep' as con_db", "con", "'dep' as old_db", "sup as old", "'elsewhere' as new_db", "'P1' as new")
+    return rounded(multidb.solve(multidb.rewire(found, "main", parts.unionByName(nations)), "main", _demand(s)), "x")
+
+
+@query("lca_substitution_scores", f""", newtech as materialized (select sup, con, sum(v) as v from (select case when con like 'P%' then 'S1' else sup end as sup, con, v from tech) group by 1, 2), {_W},
+    y2 as (select root, sup as act_id, sum(x * v) as x from x1 join newtech on con = act_id group by 1, 2), y3 as (select root, sup as act_id, sum(x * v) as x from y2 join newtech on con = act_id group by 1, 2), y4 as (select root, sup as act_id, sum(x * v) as x from y3 join newtech on con = act_id group by 1, 2),
+    y as (select * from x0 union all select * from x1 union all select * from y2 union all select * from y3 union all select * from y4)
+    select root, method, round(sum(x * v * w), 6) as score from y join bio using (act_id) join weights using (flow_id) group by 1, 2""")
+def _(s: Star):
+    changes = s.tech.where("con like 'P%' and sup != 'S1'").selectExpr("con", "sup as old", "'S1' as new")
+    found = matrix.intensities(impact.per_unit(s.bio, _weights(s)), matrix.substitute(s.tech, changes), DEPTH)
+    return rounded(impact.of_roots(s.roots, found, "method", "score"), "score")
+
+
+# ---- pages, details, trees --------------------------------------------------------------------
+
+
+@query("srt_supply_chain_page", ", r as (select s.root, s.act_id, a.name, round(s.x, 6) as quantity, row_number() over (partition by root order by abs(round(s.x, 6)) desc, act_id) as place, count(*) over (partition by root) as total from scaling s join activities a using (act_id) where s.root <> s.act_id and s.x <> 0) select *, total > 15 as has_more from r where place > 5 and place <= 15")
+def _(s: Star):
+    rows = rounded(_scaling(s).where("x != 0 and root != act_id").join(s.activities.select("act_id", "name"), "act_id"), "x")
+    rows = rows.select("root", "act_id", "name", F.col("x").alias("quantity"), F.abs("x").alias("size"))
+    return paging.page_by(rows, "root", "size", "act_id", descending=True, offset=5, limit=10).drop("size")
+
+
+@query("srt_activity_page", "select act_id, name, location, (select count(*) from activities where contains(lower(location), 'ion_1')) as total, (select count(*) from activities where contains(lower(location), 'ion_1')) > 30 as has_more from activities where contains(lower(location), 'ion_1') order by name, act_id limit 20 offset 10")
+def _(s: Star):
+    rows = lookups.structured(s.activities.select("act_id", "name", "location"), location="ION_1")
+    return paging.page(rows, "name", "act_id", offset=10, limit=20)
+
+
+@query("srt_flow_page", "select flow_id, name, category, (select count(*) from flows) as total, true as has_more from flows order by category desc, flow_id limit 2")
+def _(s: Star):
+    return paging.page(s.flows.select("flow_id", "name", "category"), "category", "flow_id", descending=True, offset=-3, limit=2)
+
+
+@query("srt_consumers_page", ", c as materialized (select distinct sup as root, con as act_id, 1 as depth from tech where sup <> con), r as (select root, act_id, depth, row_number() over (partition by root order by depth, act_id) as place, count(*) over (partition by root) as total from c) select *, total > 5 as has_more from r where place <= 5")
+def _(s: Star):
+    found = graph.walk(s.activities.select(F.col("act_id").alias("root")), s.tech, "sup", "con", 1).where("root != act_id")
+    return paging.page_by(found, "root", "depth", "act_id", limit=5)
+
+
+@query("srt_inventory_top", ", r as (select root, flow_id, round(q, 6) as q, row_number() over (partition by root order by abs(round(q, 6)) desc, flow_id) as place from inventory where q <> 0) select * from r where place <= 2")
+def _(s: Star):
+    return impact.top(rounded(_inventory(s).where("q != 0"), "q"), ["root"], "q", "flow_id", 2)
+
+
+@query("prj_flow_summaries", f"{INPUTS}, e as (select act_id, act_id as flow_id, 0 as r from activities union all select act_id, link, 1 from inputs union all select act_id, flow_id, case when flow_id in ('water', 'land') then 1 else 2 end from bio), n as (select flow_id, name, unit from flows union all select act_id, name, unit from activities) select act_id, flow_id, name, unit, count(*) as uses, case min(r) when 0 then 'reference' when 1 then 'input' else 'output' end as role from e join n using (flow_id) group by 1, 2, 3, 4")
+def _(s: Star):
+    names = s.flows.select("flow_id", "name", "unit").unionByName(s.activities.select(F.col("act_id").alias("flow_id"), "name", "unit"))
+    return lookups.flow_summaries(s.exchanges, names)
+
+
+@query("prj_flow_details", f"{INPUTS} select flow_id, name, category, unit, (select count(*) from bio b where b.flow_id = f.flow_id) as uses from flows f")
+def _(s: Star):
+    return lookups.flow_details(s.flows.select("flow_id", "name", "category", "unit"), s.exchanges)
+
+
+@query("prj_activity_details", f"{INPUTS}, e as (select act_id, seq, 'technosphere' as kind, link as flow_id, link as target_id from inputs) select e.act_id, e.seq, e.flow_id, e.target_id, a.name as target_name, a.location as target_location from e left join activities a on a.act_id = e.target_id")
+def _(s: Star):
+    bare = s.exchanges.withColumn("link", F.when(F.col("act_id").startswith("O"), F.col("link")))  # others find their supplier by its product
+    return lookups.details(bare, s.activities).where("kind = 'technosphere' and is_input").select("act_id", "seq", "flow_id", "target_id", "target_name", "target_location")
+
+
+@query("prj_exchange_counts", f"{INPUTS} select a.act_id, (select count(*) from inputs i where i.act_id = a.act_id) as inputs, 1 as outputs, 1 as \"references\", (select count(*) from bio b where b.act_id = a.act_id) as emissions from activities a")
+def _(s: Star):
+    return lookups.counts(s.exchanges)
+
+
+@query("prj_products", "select act_id, act_id as product, 1.0::double as amount, unit from activities")
+def _(s: Star):
+    return lookups.products(s.exchanges)
+
+
+@query("prj_resolve_process", "select 'O' || o_orderkey || case when o_orderkey % 3 = 0 then '_x' when o_orderkey % 3 = 1 then '_O' || o_orderkey else '' end as asked, case when o_orderkey % 3 = 0 then null else 'O' || o_orderkey end as act_id, case when o_orderkey % 3 = 0 then null else 'O' || o_orderkey end as prod_id, case when o_orderkey % 3 = 0 then 'invalid' else 'found' end as outcome from orders union all select 'nothing', null, null, 'not_found'", star=False)
+def _(s: Star):
+    asked = s.table("orders").selectExpr("concat('O', o_orderkey, case when o_orderkey % 3 = 0 then '_x' when o_orderkey % 3 = 1 then concat('_O', o_orderkey) else '' end) as asked")
+    asked = asked.unionByName(s.spark.createDataFrame([("nothing",)], "asked string"))
+    return lookups.resolve(asked, s.activities.selectExpr("act_id", "act_id as prod_id"))
+
+
+@query("prj_reference_amounts", "select name, location, 1.0::double as amount, arg_max(unit, act_id) as unit from activities group by 1, 2")
+def _(s: Star):
+    return lookups.reference_amounts(s.activities, s.exchanges)
+
+
+@query("flt_structured", "select 'P' || p_partkey as act_id from part where contains(lower(p_name), 'a') and lower(p_brand) = 'brand#1'", star=False)
+def _(s: Star):
+    rows = s.activities.where("classes['brand'] is not null").withColumn("product", F.col("act_id"))
+    return lookups.structured(rows, name="A", location="glo", classes=lookups.preset({"first": [("brand", "BRAND#1", True)]}, "first")).select("act_id")
+
+
+@query("flt_exact_name", "select act_id from activities where lower(name) = 'nation_3' and lower(location) = 'nation_3'")
+def _(s: Star):
+    return lookups.structured(s.activities, name="NaTion_3", location="nation_3", exact=True).select("act_id")
+
+
+@query("flt_flow_search", "select flow_id from flows where contains(lower(name), 'w')")
+def _(s: Star):
+    return lookups.flow_search(s.flows.withColumn("synonyms", F.array(F.lit("x"))), " W ").select("flow_id")
+
+
+@query("flt_supply_chain", ", d as (select root, act_id, 1 as depth from x1 union all select root, act_id, 2 from x2) select s.root, s.act_id, round(s.x, 6) as quantity from scaling s join d using (root, act_id) join activities a using (act_id) where abs(s.x) >= 0.125 and contains(lower(a.name), 's') and contains(lower(coalesce(a.location, '')), 'g')")
+def _(s: Star):
+    rows = _scaling(s).where("root != act_id").join(s.activities.select("act_id", "name", "location"), "act_id").withColumnRenamed("x", "quantity")
+    return rounded(lookups.supply_filter(rows, name="S", location="G", min_quantity=0.125, max_depth=2).select("root", "act_id", "quantity"), "quantity")
+
+
+@query("flt_exchanges", f"{INPUTS} select i.act_id, i.seq from inputs i join activities a on a.act_id = i.link where contains(lower(a.name), 'an')")
+def _(s: Star):
+    rows = s.exchanges.join(s.activities.selectExpr("act_id as flow_id", "name"), "flow_id")
+    return lookups.exchange_filter(rows, kind="technosphere", flow="AN", is_input=True).select("act_id", "seq")
+
+
+@query("flt_class_values", "select 'brand' as system, p_brand as value, count(*) as activities from part where contains(lower(p_brand), '#1') group by 2", star=False)
+def _(s: Star):
+    return lookups.class_values(s.activities, "brand", "#1")
+
+
+@query("agg_unlinked_top", "select 'O' || l_orderkey as act_id, count(distinct l_partkey) as missing, list_sort(list_distinct(list('P' || l_partkey)))[1:3] as examples from lineitem group by 1 order by 2 desc, 1 limit 10", star=False)
+def _(s: Star):
+    return lookups.unlinked(s.exchanges.withColumn("link", F.when(~F.col("act_id").startswith("O"), F.col("link"))))
+
+
+@query("jon_lone_supplier", "with one as (select lower(p_name) as name, count(*) as n, max('P' || p_partkey) as act_id from part group by 1) select 'O' || l_orderkey as con, l_linenumber as seq, case when l_linenumber % 2 = 0 then 'P' || l_partkey when n = 1 then act_id end as supplier from lineitem join part on p_partkey = l_partkey join one on one.name = lower(p_name)", star=False)
+def _(s: Star):
+    asked = s.table("lineitem").join(s.table("part"), F.col("l_partkey") == F.col("p_partkey")).selectExpr("concat('O', l_orderkey) as con", "l_linenumber as seq", "if(l_linenumber % 2 = 0, concat('P', l_partkey), 'none') as product_id", "upper(p_name) as name", "'g' as unit")
+    suppliers = s.table("part").selectExpr("concat('P', p_partkey) as act_id", "concat('P', p_partkey) as product_id", "p_name as name", "'kg' as unit")
+    return lookups.lone_supplier(asked, suppliers, units.from_rows(s.spark).selectExpr("name as unit", "dim"))
+
+
+@query("set_merged_hits", "select 'P' || p_partkey as id, cast(case when lower(p_name) = 'l' then 1.0 when lower(p_name) like 'l%' then 0.9 else 0.7 end as double) as score from part where contains(lower(p_name), 'l')", star=False)
+def _(s: Star):
+    rows = s.table("part").selectExpr("concat('P', p_partkey) as id", "p_name as name", "cast(null as string) as cas")
+    hits = lookups.name_hits(rows, "L")
+    return lookups.merge_hits(hits, hits.withColumn("score", F.lit(0.1)))
+
+
+@query("grf_tree", f"""{INPUTS}, t1 as (select act_id as root, seq as a, link, amount from inputs where act_id like 'O%'), t2 as (select t1.root, t1.a, i.seq as b, t1.link as parent, i.link, i.amount from t1 join inputs i on i.act_id = t1.link),
+    every as (select root, null as parent, root as act_id, 1.0::double as amount, 0 as depth, -1 as a, '' as la, -1 as b, '' as lb from x0 union all select root, root, link, amount, 1, a, link, -1, '' from t1 union all select root, parent, link, amount, 2, a, parent, b, link from t2),
+    placed as (select *, row_number() over (partition by root order by a, la, b, lb, amount) as place from every) select root, place, parent, act_id, round(amount, 6) as amount, depth, false as loop from placed where place <= 40""")
+def _(s: Star):
+    inputs = s.exchanges.where("kind = 'technosphere' and is_input").select("act_id", F.col("seq").cast("int").alias("seq"), "link", "amount")
+    return rounded(tree.expand(s.roots, inputs, 2, budget=40), "amount")
+
+
+@query("syn_star_groups", "with p as (select lower(n_name) as a, lower(r_name) as b from nation join region on n_regionkey = r_regionkey where lower(n_name) <> lower(r_name)), e as (select a as x, b as y from p union select b, a from p) select gid, norm_name from (select distinct x as gid, x as norm_name from e union select x, y from e)", star=False)
+def _(s: Star):
+    pairs = s.table("nation").join(s.table("region"), F.col("n_regionkey") == F.col("r_regionkey")).selectExpr("n_name as a", "r_name as b")
+    return synonyms.star_groups(pairs)
+
+
+@query("str_search_text", r"select doc_id, trim(regexp_replace(strip_accents(lower(text)), '[^\p{L}\p{N}]+', ' ', 'g')) as key from documents where text is not null", star=False)
+def _(s: Star):
+    return s.table("documents").where("text is not null").select("doc_id", T.search_text(F.col("text")).alias("key"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -25,9 +27,23 @@ def link_key(c: Column) -> Column:
     return F.lower(F.trim(F.translate(F.translate(c, dashes, "-" * len(dashes)), "  ", "  ")))
 
 
+def _plain_letters() -> tuple[str, str]:
+    """Composed letters of Latin, Greek, Cyrillic and their extensions, and what each is without its marks."""
+    composed, plain = [], []
+    for code in (*range(0xC0, 0x250), *range(0x370, 0x530), *range(0x1E00, 0x2000)):
+        base = "".join(c for c in unicodedata.normalize("NFD", chr(code)) if not unicodedata.combining(c))
+        if len(base) == 1 and base != chr(code):
+            composed.append(chr(code))
+            plain.append(base)
+    return "".join(composed), "".join(plain)
+
+
+_COMPOSED, _PLAIN = _plain_letters()
+
+
 def search_text(c: Column) -> Column:
-    """Lower case, letters and digits only, words parted by one space. Accents of composed Latin letters fall away."""
-    plain = F.translate(F.lower(c), "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy")
+    """Lower case without accents, letters and digits only, words parted by one space."""
+    plain = F.regexp_replace(F.translate(F.lower(c), _COMPOSED, _PLAIN), r"\p{M}+", "")
     return F.trim(F.regexp_replace(plain, r"[^\p{L}\p{N}]+", " "))
 
 
