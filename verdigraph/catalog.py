@@ -650,9 +650,9 @@ def _(s: Star):
     return lookups.merge_hits(hits, hits.withColumn("score", F.lit(0.1)))
 
 
-@query("grf_tree", f"""{INPUTS}, t1 as (select act_id as root, seq as a, link, amount from inputs where act_id like 'O%'), t2 as (select t1.root, t1.a, i.seq as b, t1.link as parent, i.link, i.amount from t1 join inputs i on i.act_id = t1.link),
-    every as (select root, null as parent, root as act_id, 1.0::double as amount, 0 as depth, -1 as a, '' as la, -1 as b, '' as lb from x0 union all select root, root, link, amount, 1, a, link, -1, '' from t1 union all select root, parent, link, amount, 2, a, parent, b, link from t2),
-    placed as (select *, row_number() over (partition by root order by a, la, b, lb, amount) as place from every) select root, place, parent, act_id, round(amount, 6) as amount, depth, false as loop from placed where place <= 40""")
+@query("grf_tree", f"""{INPUTS}, t1 as (select act_id as root, seq as a, link, amount from inputs where act_id like 'O%'), t2 as (select t1.root, t1.a, t1.amount as aa, i.seq as b, t1.link as parent, i.link, i.amount from t1 join inputs i on i.act_id = t1.link),
+    every as (select root, null as parent, root as act_id, 1.0::double as amount, 0 as depth, -1 as a, '' as la, 0.0::double as aa, -1 as b, '' as lb from x0 union all select root, root, link, amount, 1, a, link, amount, -1, '' from t1 union all select root, parent, link, amount, 2, a, parent, aa, b, link from t2),
+    placed as (select *, row_number() over (partition by root order by a, la, aa, b, lb, amount) as place from every) select root, place, parent, act_id, round(amount, 6) as amount, depth, false as loop from placed where place <= 40""")
 def _(s: Star):
     inputs = s.exchanges.where("kind = 'technosphere' and is_input").select("act_id", F.col("seq").cast("int").alias("seq"), "link", "amount")
     return rounded(tree.expand(s.roots, inputs, 2, budget=40), "amount")

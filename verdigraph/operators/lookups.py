@@ -171,10 +171,11 @@ def lone_supplier(asked: DataFrame, suppliers: DataFrame, dims: DataFrame) -> Da
     """
     ids = suppliers.groupBy("product_id").agg(F.max("act_id").alias("by_id"))
     s = suppliers.select("act_id", F.lower("name").alias("key"), F.lower(F.trim("unit")).alias("s_unit")).join(dims.selectExpr("unit as s_unit", "dim as s_dim"), "s_unit", "left")
-    a = asked.select("con", "seq", F.lower("name").alias("key"), F.lower(F.trim("unit")).alias("a_unit")).join(dims.selectExpr("unit as a_unit", "dim as a_dim"), "a_unit", "left")
+    a = asked.withColumn("key", F.lower("name")).withColumn("a_unit", F.lower(F.trim("unit")))
+    kinds = a.select("key", "a_unit").distinct().join(dims.selectExpr("unit as a_unit", "dim as a_dim"), "a_unit", "left")
     fits = (F.col("a_unit") == F.col("s_unit")) | F.coalesce(F.col("a_dim") == F.col("s_dim"), F.lit(False))
-    named = a.join(s, "key").where(fits).groupBy("con", "seq").agg(F.count_distinct("act_id").alias("n"), F.max("act_id").alias("by_name")).where("n = 1")
-    return asked.join(ids, "product_id", "left").join(named, ["con", "seq"], "left").select("con", "seq", F.coalesce("by_id", "by_name").alias("supplier"))
+    named = kinds.join(s, "key").where(fits).groupBy("key", "a_unit").agg(F.count_distinct("act_id").alias("n"), F.max("act_id").alias("by_name")).where("n = 1")
+    return a.join(ids, "product_id", "left").join(named, ["key", "a_unit"], "left").select("con", "seq", F.coalesce("by_id", "by_name").alias("supplier"))
 
 
 def unlinked(exchanges: DataFrame, samples: int = 3, consumers: int = 10) -> DataFrame:
