@@ -37,3 +37,12 @@ def biosphere(activity_index: DataFrame, flow_index: DataFrame, bio: DataFrame)
 
 def write(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("sep", ";").option("header", "true").option("emptyValue", "").csv(path)
+
+
+def debug_matrices(scaling: DataFrame, bio: DataFrame, activities: DataFrame, flows: DataFrame, flow: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Supply (root, act_id, name, location, x), and contributions (root, flow_id, flow_name, act_id, v, x, contribution) of flows whose name has flow in it."""
+    supply = scaling.where("x != 0").join(activities.select("act_id", "name", "location"), "act_id", "left").select("root", "act_id", "name", "location", "x")
+    named = flows.select("flow_id", F.col("name").alias("flow_name"))
+    named = named.where(F.contains(F.lower("flow_name"), F.lit(flow.lower()))) if flow else named
+    parts = bio.join(named, "flow_id").join(scaling.where("x != 0").select("root", "act_id", "x"), "act_id")
+    return supply, parts.select("root", "flow_id", "flow_name", "act_id", "v", "x", (F.col("v") * F.col("x")).alias("contribution"))
