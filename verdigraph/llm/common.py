@@ -13,8 +13,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Bytes of text that a Python worker turns into arrays at a time.
-SLICE_BYTES = 4 << 20
+#: Bytes of text that a Python worker turns into arrays at a time: they take some forty bytes for each.
+SLICE_BYTES = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -41,6 +41,8 @@ TRAILER = struct.Struct("<QQQHxxI8s")  # documents, ids, index start, bits, bloc
 BLOCK = 1 << 16
 #: Bytes of text in a file, about, where the table holds more than the shuffle's partitions of it.
 FILE_BYTES = 256 << 20
+#: Bytes of text whose distinct pieces are encoded once.
+ENCODED_BYTES = 4 << 20
 #: White space by Unicode. A space followed by one of these, or by the end, does not begin a piece.
 _WS = "\\x09-\\x0d\\x1c-\\x20\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 _ODD = re.compile(f" (?:[{_WS}]|$)")
@@ -267,7 +269,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 2,
         uri = f"{folder}/part-{part:06d}.vgids"
         for batch in batches:
             texts = flat(batch.column(1))
-            for a, b in slices(texts):
+            for a, b in slices(texts, ENCODED_BYTES):
                 if out is None:
                     out = Writer(uri, bits_for(max(_tokenizer(tokenizer)[0].get_vocab_size(), end_id + 1)))
                 out.add(batch.column(0).slice(a, b - a), *_with_end(*encode(tokenizer, texts.slice(a, b - a), special), end_id))
