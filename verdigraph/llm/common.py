@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import os
 import tempfile
 import uuid
@@ -93,8 +94,20 @@ def slices(column: pa.Array | pa.ChunkedArray, limit: int = SLICE_BYTES) -> Iter
         yield start, len(sizes)
 
 
+def give_back() -> None:
+    """Returns freed memory to the system: a worker lives on, and would keep its largest batch's."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
+
+
+#: The C library's own call, where it has one.
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None) if os.name == "posix" else None
+
+
 def flat(column: pa.Array | pa.ChunkedArray) -> pa.Array:
-    """One large_string array without nulls; null is the empty text."""
+    """One large_string array without nulls; null is the empty text. Called for each batch, it gives back what the last one held."""
+    give_back()
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
         if isinstance(column, pa.ChunkedArray):
