@@ -7,15 +7,19 @@ import ctypes
 import os
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Bytes of text that a Python worker turns into arrays at a time: they take some forty bytes for each.
 SLICE_BYTES = 1 << 20
+#: Bytes of rows that Spark hands to a Python worker at a time, one row at least. Its own bound is by
+#: records, and thousands of long texts are held several times over, in the JVM and in the worker.
+BATCH_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,6 +59,18 @@ def column(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def map_batches(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
+    """mapInArrow with batches of at most BATCH_BYTES.
+
+    Spark reads the bound from the session when the plan runs, so the session keeps it; a smaller one stays.
+    """
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    held = conf.get(key, None)
+    if held is None or not held.isdigit() or not 0 < int(held) <= BATCH_BYTES:
+        conf.set(key, str(BATCH_BYTES))
+    return df.mapInArrow(function, schema)
+
+
 class Scratch:
     """Tables written to the shared folder: they cut lineage and outlive executors.
 

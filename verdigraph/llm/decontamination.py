@@ -36,7 +36,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, flat, offsets_of, slices, unused
+from .common import column, flat, map_batches, offsets_of, slices, unused
 
 PASSAGE, STEP, WIDTHS = 64, 32, (1, 3)
 #: Passages in a block of the query set, and blocks that share passes over the corpus.
@@ -145,7 +145,7 @@ def _document_frequency(docs: DataFrame, vocabulary: pa.Array) -> tuple[np.ndarr
         at = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(df[at], n))], names=["term", "df"])
 
-    rows = docs.select(F.col("text").cast("string")).mapInArrow(count, "term long, df long").groupBy("term").agg(F.sum("df").alias("df")).collect()
+    rows = map_batches(docs.select(F.col("text").cast("string")), count, "term long, df long").groupBy("term").agg(F.sum("df").alias("df")).collect()
     found, n = np.zeros(len(vocabulary), np.int64), 0
     for r in rows:  # one row for each term of this block of the benchmark
         if r.term < 0:
@@ -180,7 +180,7 @@ def _latent_space(spark, words: list[np.ndarray], weight: np.ndarray, seed: int
             yield pa.RecordBatch.from_arrays([pa.array([own.tobytes()], pa.binary()), pa.array([total[own].tobytes()], pa.binary())], names=["terms", "part"])
 
         total = np.zeros(basis.shape)
-        for p in rows.mapInArrow(sketch, "terms binary, part binary").collect():
+        for p in map_batches(rows, sketch, "terms binary, part binary").collect():
             own = np.frombuffer(p.terms, np.int64)
             total[own] += np.frombuffer(p.part, np.float32).reshape(len(own), basis.shape[1])
         basis = np.linalg.qr(total)[0].astype(np.float32)
@@ -355,7 +355,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                     rest = [pa.array([h[k] for h in hits], pa.int64() if k == 1 else pa.float64()) for k in range(1, 5)]
                     yield pa.RecordBatch.from_arrays([ids, *rest], names=["doc_id", "item_id", "cosine", "share", "answer_share"])
 
-        part = rows.mapInArrow(find, schema)
+        part = map_batches(rows, find, schema)
         out = part if out is None else out.union(part)
     if out is None:
         return docs.sparkSession.createDataFrame([], schema)
@@ -378,5 +378,5 @@ def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 left = batch.filter(pa.array(stays))
                 yield pa.RecordBatch.from_arrays(left.columns[:-1], names=names)
 
-        out = rows.mapInArrow(keep, docs.schema)
+        out = map_batches(rows, keep, docs.schema)
     return out

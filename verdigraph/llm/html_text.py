@@ -34,6 +34,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import map_batches
+
 #: First pass: a link density above LINKS is bad; LONG words are good, and MEDIUM words with a stop-word density of STOPS.
 LINKS, LONG, MEDIUM, STOPS = 0.5, 40, 10, 0.15
 #: A block with a lower stop-word density than this has none to speak of.
@@ -244,4 +246,4 @@ def extract(pages: DataFrame) -> DataFrame:
             )
 
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    return rows.mapInArrow(texts, "page_id long, url string, text string, n_chars long, n_blocks long, n_undecided long")
+    return map_batches(rows, texts, "page_id long, url string, text string, n_chars long, n_blocks long, n_undecided long")

@@ -36,7 +36,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import flat, mix64, slices, words_of
+from .common import flat, map_batches, mix64, slices, words_of
 
 THRESHOLD = 0.8
 #: Words of a window against those of the template, at most.
@@ -260,4 +260,4 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: floa
             yield pa.RecordBatch.from_arrays([ids, *rest], names=["doc_id", "template", "unit", "start", "end", "dice"])
 
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return own.mapInArrow(rows, "doc_id long, template string, unit string, start long, end long, dice double")
+    return map_batches(own, rows, "doc_id long, template string, unit string, start long, end long, dice double")

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, flat, mix64, slices, unused, words_of
+from .common import Scratch, flat, map_batches, mix64, slices, unused, words_of
 
 WORDS = 5
 ROWS, BANDS = 5, 45
@@ -179,7 +179,7 @@ def _sets_of(rows: DataFrame, ids: DataFrame) -> DataFrame:
     """
     bits = max(10, ids.count().bit_length() + SPARE)
     if bits > IDS:
-        return rows.join(ids.selectExpr("id as doc_id"), "doc_id", "left_semi").select("doc_id", "text").mapInArrow(_sets, "id long, set binary")
+        return map_batches(rows.join(ids.selectExpr("id as doc_id"), "doc_id", "left_semi").select("doc_id", "text"), _sets, "id long, set binary")
     place = f"(id ^ shiftright(id, {bits}) ^ shiftright(id, {2 * bits})) & {2**bits - 1}"
     words = ids.selectExpr(f"{place} as p").selectExpr("cast(shiftright(p, 6) as int) as k", "shiftleft(1L, cast(p & 63 as int)) as bit").groupBy("k").agg(F.bit_or("bit").alias("bits")).collect()
     wanted = np.zeros(2**bits // 64, np.int64)
@@ -194,7 +194,7 @@ def _sets_of(rows: DataFrame, ids: DataFrame) -> DataFrame:
             if keep.any():
                 yield from _sets(iter([batch.filter(pa.array(keep))]))
 
-    return rows.mapInArrow(sets, "id long, set binary")
+    return map_batches(rows, sets, "id long, set binary")
 
 
 def _confirm(pairs: DataFrame, rows: DataFrame, scratch: Scratch, name: str) -> DataFrame:
@@ -202,7 +202,7 @@ def _confirm(pairs: DataFrame, rows: DataFrame, scratch: Scratch, name: str) ->
     ids = scratch.save(pairs.selectExpr("explode(array(a, b)) as id").distinct(), f"{name}-ids")
     sets = scratch.save(_sets_of(rows, ids), name)
     held = pairs.join(sets.selectExpr("id as a", "set as sa"), "a").join(sets.selectExpr("id as b", "set as sb"), "b")
-    return held.select("a", "b", "sa", "sb").mapInArrow(_linked, "a long, b long")
+    return map_batches(held.select("a", "b", "sa", "sb"), _linked, "a long, b long")
 
 
 def _prefix_pairs(sets: DataFrame, left: DataFrame) -> DataFrame:
@@ -214,7 +214,7 @@ def _prefix_pairs(sets: DataFrame, left: DataFrame) -> DataFrame:
     that a passage which many texts share pairs only texts that hold little else.
     """
     places = 2**CELLS
-    cells = sets.mapInArrow(_cells, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n"))
+    cells = map_batches(sets, _cells, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n"))
     total = cells.agg(F.sum("n").alias("n")).first().n or 0
     busy = cells.where(F.col("n") >= max(CROWD, 4 * total / places))
     words = busy.selectExpr("cast(shiftright(cell, 6) as int) as k", "shiftleft(1L, cell & 63) as bit").groupBy("k").agg(F.bit_or("bit").alias("bits")).collect()
@@ -234,7 +234,7 @@ def _prefix_pairs(sets: DataFrame, left: DataFrame) -> DataFrame:
                 sizes.append(len(found))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["id", "n", "keys"])
 
-    rows = sets.mapInArrow(prefixes, "id long, n long, keys array<bigint>").join(left, "id").select("id", "n", "comp", F.posexplode("keys").alias("at", "key"))
+    rows = map_batches(sets, prefixes, "id long, n long, keys array<bigint>").join(left, "id").select("id", "n", "comp", F.posexplode("keys").alias("at", "key"))
     mixed = rows.groupBy("key").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2")).where("c1 != c2").select("key")
     rows = rows.join(mixed, "key", "left_semi")
     a, b = rows.selectExpr("key", "id as a", "n as na", "comp as ca", "at as pa"), rows.selectExpr("key", "id as b", "n as nb", "comp as cb", "at as pb")
@@ -258,7 +258,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of docs (doc_id, text)."""
     scratch = Scratch(docs.sparkSession, "near")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    signed = scratch.save(rows.mapInArrow(_signed, "doc_id long, n long, h1 long, h2 long, keys array<bigint>"), "signed")
+    signed = scratch.save(map_batches(rows, _signed, "doc_id long, n long, h1 long, h2 long, keys array<bigint>"), "signed")
 
     full = signed.where("n > 0 and doc_id is not null")
     classes = scratch.save(full.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "classes")

@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import map_batches
+
 KINDS = ("email", "ip", "card", "phone", "iban", "ssn", "secret")
 BASE = KINDS[:4]
 THRESHOLD = 0.5
@@ -158,7 +160,7 @@ def spans(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, kind)], names=["doc_id", "spans"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(found, "doc_id long, spans array<struct<kind: string, start: bigint, end: bigint, score: double>>")
+    return map_batches(rows, found, "doc_id long, spans array<struct<kind: string, start: bigint, end: bigint, score: double>>")
 
 
 def digest(found: DataFrame) -> DataFrame:

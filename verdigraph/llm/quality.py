@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, flat, offsets_of, slices, unused, words_of
+from .common import column, flat, map_batches, offsets_of, slices, unused, words_of
 
 PASSAGE = 48
 #: The most labelled rows that are used for training.
@@ -204,7 +204,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
     marked = marked.where(~held_out(F.col("doc_id")))
     ids = docs.select(doc_id.alias("doc_id")).join(marked, "doc_id").orderBy(F.crc32(F.col("doc_id").cast("string").cast("binary")), "doc_id").limit(SAMPLE).distinct()
     rows = docs.select(doc_id.alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(ids), "doc_id").select("doc_id", "label", "text")
-    found = sorted(rows.mapInArrow(_described, "doc_id long, label int, x binary").collect(), key=lambda r: (r.doc_id, r.x))
+    found = sorted(map_batches(rows, _described, "doc_id long, label int, x binary").collect(), key=lambda r: (r.doc_id, r.x))
     if not found:
         return None
     x = np.concatenate([np.frombuffer(r.x, np.float32).reshape(-1, INPUTS) for r in found])
@@ -227,7 +227,7 @@ def scored(docs: DataFrame, model: Model | None, keep_columns: bool = False) ->
                 cut = batch.slice(a, b - a)
                 yield pa.RecordBatch.from_arrays([*cut.columns[:-1], pa.array(p, pa.float64())], names=[*columns, name])
 
-    return rows.mapInArrow(score, schema), name
+    return map_batches(rows, score, schema), name
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, flat, slices
+from .common import Scratch, flat, map_batches, slices
 
 MAGIC = b"VGIDS1\0\0"
 TRAILER = struct.Struct("<QQQHxxI8s")  # documents, ids, index start, bits, block length, magic
@@ -284,7 +284,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 2,
         partitions = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // FILE_BYTES))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     dealt = rows.repartitionByRange(partitions, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
-    done = dealt.mapInArrow(files, "part long, file string, docs long, ids long").collect()
+    done = map_batches(dealt, files, "part long, file string, docs long, ids long").collect()
     return [(r.file, r.docs, r.ids) for r in sorted(done, key=lambda r: r.part)]
 
 
@@ -312,7 +312,7 @@ def read_tokens(spark: SparkSession, files: list[tuple[str, int, int]]) -> DataF
                 )
 
     n = max(1, len(files))
-    return spark.range(0, len(files), 1, n).mapInArrow(rows, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return map_batches(spark.range(0, len(files), 1, n), rows, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def token_output(docs: DataFrame, tokenizer: str, end_id: int = 2, folder: str | None = None, special: bool = True) -> DataFrame:
