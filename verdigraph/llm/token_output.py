@@ -172,6 +172,11 @@ def _tokenizer(path: str, special: bool = True):
     return tok, spans, added
 
 
+def _ids(tok, texts: list[str], at_once: int = 64) -> list[np.ndarray]:
+    """Ids of each text. The library's own results take some hundred bytes an id, so few are held at a time."""
+    return [np.array(e.ids, np.uint32) for k in range(0, len(texts), at_once) for e in tok.encode_batch_fast(texts[k : k + at_once], add_special_tokens=False)]
+
+
 def _encode_pieces(path: str, special: bool, pieces: list[str], group: int = 256) -> tuple[np.ndarray, np.ndarray]:
     """Ids of " " + piece for each piece, end to end, and their number for each piece.
 
@@ -181,19 +186,19 @@ def _encode_pieces(path: str, special: bool, pieces: list[str], group: int = 256
     """
     tok, spans, _ = _tokenizer(path, special)
     runs = ["".join([f" {p}" for p in pieces[k : k + group]]) for k in range(0, len(pieces), group)]
-    coded = [np.array(e.ids, np.uint32) for e in tok.encode_batch_fast(runs, add_special_tokens=False)]
+    coded = _ids(tok, runs)
     ids = np.concatenate(coded) if coded else np.zeros(0, np.uint32)
     ends = np.cumsum(np.fromiter((len(p.encode()) + 1 for p in pieces), np.int64, len(pieces)))
     got = np.cumsum(spans[ids])
     stop = np.searchsorted(got, ends, "left") + 1 if len(ids) else np.zeros(len(pieces), np.int64)
     if len(pieces) and not (stop[-1] == len(ids) and np.array_equal(got[stop - 1], ends)):
-        coded = [np.array(e.ids, np.uint32) for e in tok.encode_batch_fast([f" {p}" for p in pieces], add_special_tokens=False)]
+        coded = _ids(tok, [f" {p}" for p in pieces])
         return np.concatenate(coded), np.array([len(x) for x in coded])
     return ids, np.diff(stop, prepend=0)
 
 
 def _encode_whole(path: str, special: bool, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    coded = [np.array(e.ids, np.uint32) for e in _tokenizer(path, special)[0].encode_batch_fast(texts, add_special_tokens=False)]
+    coded = _ids(_tokenizer(path, special)[0], texts)
     return np.concatenate([np.zeros(0, np.uint32), *coded]), np.array([len(x) for x in coded], np.int64)
 
 
@@ -236,7 +241,7 @@ def _encode_split(path: str, special: bool, texts: pa.Array) -> tuple[np.ndarray
     index = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
     ids, counts = _encode_pieces(path, special, coded.dictionary.to_pylist())
     # a text's first piece has no space before it
-    heads = [np.array(e.ids, np.uint32) for e in tok.encode_batch_fast(values.take(pa.array(first[:-1])).to_pylist(), add_special_tokens=False)]
+    heads = _ids(tok, values.take(pa.array(first[:-1])).to_pylist())
     starts = np.append(np.cumsum(counts) - counts, len(ids) + np.cumsum([0, *map(len, heads)])[:-1])
     counts = np.append(counts, [len(h) for h in heads]).astype(np.int64)
     ids = np.concatenate([ids, *heads])
