@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from verdigraph.llm import mixing, private_data, token_output
+from verdigraph.llm.common import BATCH_BYTES, map_batches
 
 tokenizers = pytest.importorskip("tokenizers")
 PATH = pytest.importorskip("public_tokenizers").path("byte_bpe_50k.json")
@@ -142,3 +143,33 @@ def test_mix_keeps_clashing_columns(spark):
     out = mixing.mix(docs)
     rows = out.collect()
     assert out.columns == docs.columns and rows and all(r.VG_MIX == r.doc_id and r.copies == "x" for r in rows)
+
+
+def test_batches_are_bounded_by_bytes_and_lose_no_row(spark):
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"n": [b.num_rows], "size": [b.nbytes]})
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key, None)
+    try:
+        spark.conf.set(key, "1073741824")
+        texts = spark.range(0, 600, 1, 1).select(F.when(F.col("id") == 300, F.repeat(F.lit("y"), 6 << 20)).otherwise(F.repeat(F.lit("x"), 40000)).alias("text"))
+        found = map_batches(texts, sizes, "n long, size long").collect()
+        assert sum(r.n for r in found) == 600 and len(found) >= 6
+        assert max(r.size for r in found) < BATCH_BYTES + (6 << 20) + 100000
+        assert spark.conf.get(key) == str(BATCH_BYTES)
+        spark.conf.set(key, "65536")
+        map_batches(texts, sizes, "n long, size long")
+        assert spark.conf.get(key) == "65536"
+    finally:
+        spark.conf.set(key, before or str(BATCH_BYTES))
+
+
+def test_small_groups_of_texts_are_encoded_as_all_at_once():
+    tok = tokenizers.Tokenizer.from_file(PATH)
+    texts = [f" word{k} and {k * k}" for k in range(150)]
+    want = [e.ids for e in tok.encode_batch_fast(texts, add_special_tokens=False)]
+    for at_once in (1, 64, 1000):
+        assert [x.tolist() for x in token_output._ids(tok, texts, at_once)] == want
+    assert token_output._ids(tok, []) == []
