@@ -38,6 +38,20 @@ def test_linked_databases_by_hand(spark):
         multidb.demand_of(asked.withColumn("unit", F.lit("m")), made, units.from_rows(spark)).collect()
 
 
+def test_rules_are_their_changes(spark):
+    edges = [("a", "p1", "b", "s1", 0.5), ("a", "p1", "b", "s2", 0.25), ("a", "p2", "b", "s2", 1.0), ("b", "s1", "b", "n", 2.0), ("b", "n", "b", "r", 0.5), ("b", "n", "b", "q", -0.5)]
+    found = table(spark, edges, "con_db string, con string, sup_db string, sup string, v double")
+    moved = multidb.redirect(found, [("con like 'p%'", "b", "s1"), ("con = 'n' or con = 'p2'", "elsewhere", "p1")])
+    assert sorted(map(tuple, moved.collect())) == [("a", "p1", "b", "s1", 0.75), ("a", "p2", "b", "s1", 1.0), ("b", "s1", "b", "n", 2.0)]
+    own = found.where("con_db = sup_db").select("sup", "con", "v")
+    a = multidb.Database(own.where("false"), own, found.where("con_db = 'a'").selectExpr("con", "sup_db as source_db", "sup", "v"), 0)
+    b = multidb.Database(own, own, found.where("false").selectExpr("con", "sup_db as source_db", "sup", "v"), 2)
+    changes = [(d, c, e, s, "b", "s1") if d == "a" else (d, c, e, s, "elsewhere", "p1") for d, c, e, s, _ in edges if c != "s1"]
+    want = multidb.rewire({"a": a, "b": b}, "a", table(spark, changes, "con_db string, con string, old_db string, old string, new_db string, new string"))
+    assert sorted(map(tuple, want["a"].links.collect())) == [("p1", "b", "s1", 0.75), ("p2", "b", "s1", 1.0)]
+    assert (want["b"].tech.collect(), want["b"].links.count()) == ([("n", "s1", 2.0)], 0)
+
+
 def test_technosphere_converts_units_or_fails(spark):
     rows = [("A", 0, "technosphere", "A", 1.0, "kg", False, True, None), ("A", 1, "technosphere", "B", 500.0, "g", True, False, "B"), ("B", 0, "technosphere", "B", 2.0, "kg", False, True, None)]
     e = table(spark, rows, ROWS)

@@ -119,3 +119,16 @@ def rewire(databases: dict[str, Database], start: str, changes: DataFrame) -> di
         own = edges.where(F.col("con_db") == name)
         out[name] = replace(db, tech=own.where(F.col("sup_db") == name).select("sup", "con", "v"), links=own.where(F.col("sup_db") != name).select("con", F.col("sup_db").alias("source_db"), "sup", "v"))
     return out
+
+
+def redirect(edges: DataFrame, rules: list[tuple[str, str, str]]) -> DataFrame:
+    """edges (con_db, con, sup_db, sup, v) with all suppliers of the consumers of a rule (condition, new_db, new) exchanged for one.
+
+    The first rule whose condition holds counts. As rewire with a change for each of these edges, without a
+    table of them: edges are summed by what they are dealt by, not joined.
+    """
+    to_db, to = F.col("sup_db"), F.col("sup")
+    for condition, new_db, new in reversed(rules):
+        to_db, to = F.when(F.expr(condition), F.lit(new_db)).otherwise(to_db), F.when(F.expr(condition), F.lit(new)).otherwise(to)
+    moved = edges.select("con_db", "con", to_db.alias("sup_db"), to.alias("sup"), "v")
+    return moved.groupBy("con_db", "con", "sup_db", "sup").agg(F.sum("v").alias("v")).where(F.abs("v") > matrix.SMALLEST)
