@@ -173,3 +173,23 @@ def test_small_groups_of_texts_are_encoded_as_all_at_once():
     for at_once in (1, 64, 1000):
         assert [x.tolist() for x in token_output._ids(tok, texts, at_once)] == want
     assert token_output._ids(tok, []) == []
+
+
+def test_batches_are_encoded_together(monkeypatch):
+    """Pieces that several of Spark's batches hold are encoded once; batches are joined up to the bound, in order."""
+    texts = ["the cat sat", None, "the cat sat on the mat", "", "x" * 50, "the end", "the cat"]
+    batches = [pa.RecordBatch.from_arrays([pa.array([None if k == 3 else k], pa.int64()), pa.array([t], pa.string())], names=["doc_id", "text"]) for k, t in enumerate(texts)]
+    (ids, all_texts), = token_output.joined(iter(batches))
+    assert (ids.to_pylist(), all_texts.to_pylist()) == ([0, 1, 2, None, 4, 5, 6], [t or "" for t in texts])
+    seen, encode = [], token_output._encode_pieces
+    monkeypatch.setattr(token_output, "_encode_pieces", lambda path, special, pieces: seen.extend(pieces.to_pylist()) or encode(path, special, pieces))
+    tok = tokenizers.Tokenizer.from_file(PATH)
+    want = [tok.encode(t or "", add_special_tokens=False).ids for t in texts]
+    for dealt in (1, 3, 1 << 19):
+        monkeypatch.setattr(token_output, "DEALT", dealt)
+        got, lengths = token_output.encode(PATH, all_texts)
+        assert (got.tolist(), lengths.tolist()) == (sum(want, []), [len(w) for w in want])
+    assert len(seen) == 3 * len(set(seen))
+    monkeypatch.setattr(token_output, "ENCODED_BYTES", 33)
+    assert [t.to_pylist() for _, t in token_output.joined(iter(batches))] == [["the cat sat", "", "the cat sat on the mat", ""], ["x" * 50], ["the end", "the cat"]]
+    assert list(token_output.joined(iter([]))) == []

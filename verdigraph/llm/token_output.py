@@ -34,15 +34,17 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, flat, map_batches, slices
+from .common import Scratch, flat, map_batches, offsets_of, slices
 
 MAGIC = b"VGIDS1\0\0"
 TRAILER = struct.Struct("<QQQHxxI8s")  # documents, ids, index start, bits, block length, magic
 BLOCK = 1 << 16
 #: Bytes of text in a file, about, where the table holds more than the shuffle's partitions of it.
 FILE_BYTES = 256 << 20
-#: Bytes of text whose distinct pieces are encoded once.
-ENCODED_BYTES = 4 << 20
+#: Bytes of text whose distinct pieces are encoded once: the more at a time, the fewer are met again. Spark's batches are joined up to it.
+ENCODED_BYTES = 16 << 20
+#: Pieces whose ids are dealt to their places at a time.
+DEALT = 1 << 19
 #: White space by Unicode. A space followed by one of these, or by the end, does not begin a piece.
 _WS = "\\x09-\\x0d\\x1c-\\x20\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 _ODD = re.compile(f" (?:[{_WS}]|$)")
@@ -177,7 +179,7 @@ def _ids(tok, texts: list[str], at_once: int = 64) -> list[np.ndarray]:
     return [np.array(e.ids, np.uint32) for k in range(0, len(texts), at_once) for e in tok.encode_batch_fast(texts[k : k + at_once], add_special_tokens=False)]
 
 
-def _encode_pieces(path: str, special: bool, pieces: list[str], group: int = 256) -> tuple[np.ndarray, np.ndarray]:
+def _encode_pieces(path: str, special: bool, pieces: pa.Array, group: int = 256) -> tuple[np.ndarray, np.ndarray]:
     """Ids of " " + piece for each piece, end to end, and their number for each piece.
 
     Pieces don't begin with white space, so the encoder cuts a run of them exactly where
@@ -185,14 +187,15 @@ def _encode_pieces(path: str, special: bool, pieces: list[str], group: int = 256
     ids belong to which piece.
     """
     tok, spans, _ = _tokenizer(path, special)
-    runs = ["".join([f" {p}" for p in pieces[k : k + group]]) for k in range(0, len(pieces), group)]
+    words = pieces.to_pylist()
+    runs = [f" {' '.join(words[k : k + group])}" for k in range(0, len(words), group)]
     coded = _ids(tok, runs)
     ids = np.concatenate(coded) if coded else np.zeros(0, np.uint32)
-    ends = np.cumsum(np.fromiter((len(p.encode()) + 1 for p in pieces), np.int64, len(pieces)))
+    ends = np.cumsum(pc.binary_length(pieces).to_numpy().astype(np.int64) + 1)
     got = np.cumsum(spans[ids])
     stop = np.searchsorted(got, ends, "left") + 1 if len(ids) else np.zeros(len(pieces), np.int64)
     if len(pieces) and not (stop[-1] == len(ids) and np.array_equal(got[stop - 1], ends)):
-        coded = _ids(tok, [f" {p}" for p in pieces])
+        coded = _ids(tok, [f" {p}" for p in words])
         return np.concatenate(coded), np.array([len(x) for x in coded])
     return ids, np.diff(stop, prepend=0)
 
@@ -239,7 +242,7 @@ def _encode_split(path: str, special: bool, texts: pa.Array) -> tuple[np.ndarray
     first, values = first - first[0], lists.flatten()
     coded = values.dictionary_encode()
     index = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-    ids, counts = _encode_pieces(path, special, coded.dictionary.to_pylist())
+    ids, counts = _encode_pieces(path, special, coded.dictionary)
     # a text's first piece has no space before it
     heads = _ids(tok, values.take(pa.array(first[:-1])).to_pylist())
     starts = np.append(np.cumsum(counts) - counts, len(ids) + np.cumsum([0, *map(len, heads)])[:-1])
@@ -248,10 +251,13 @@ def _encode_split(path: str, special: bool, texts: pa.Array) -> tuple[np.ndarray
     index[first[:-1]] = len(coded.dictionary) + np.arange(len(heads))
     sizes = counts[index]
     ends = np.cumsum(sizes)
-    total = int(ends[-1]) if len(ends) else 0
-    at = np.repeat(starts[index] - (ends - sizes), sizes)
-    at += np.arange(total)
-    return ids[at], np.add.reduceat(sizes, first[:-1]) if len(sizes) else np.zeros(0, np.int64)
+    out = np.empty(int(ends[-1]) if len(ends) else 0, np.uint32)
+    for k in range(0, len(index), DEALT):
+        size, end = sizes[k : k + DEALT], ends[k : k + DEALT]
+        at = np.repeat(starts[index[k : k + DEALT]] - (end - size), size)
+        at += np.arange(end[0] - size[0], end[-1])
+        out[end[0] - size[0] : end[-1]] = ids[at]
+    return out, np.add.reduceat(sizes, first[:-1]) if len(sizes) else np.zeros(0, np.int64)
 
 
 def _with_end(ids: np.ndarray, lengths: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
@@ -272,12 +278,11 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 2,
     def files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, out = TaskContext.get().partitionId(), None
         uri = f"{folder}/part-{part:06d}.vgids"
-        for batch in batches:
-            texts = flat(batch.column(1))
+        for doc_ids, texts in joined(batches):
             for a, b in slices(texts, ENCODED_BYTES):
                 if out is None:
                     out = Writer(uri, bits_for(max(_tokenizer(tokenizer)[0].get_vocab_size(), end_id + 1)))
-                out.add(batch.column(0).slice(a, b - a), *_with_end(*encode(tokenizer, texts.slice(a, b - a), special), end_id))
+                out.add(doc_ids.slice(a, b - a), *_with_end(*encode(tokenizer, texts.slice(a, b - a), special), end_id))
         if out is not None:
             n_docs, n_ids = out.close()
             yield pa.RecordBatch.from_pydict({"part": [part], "file": [uri], "docs": [n_docs], "ids": [n_ids]})
@@ -293,6 +298,21 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 2,
     return [(r.file, r.docs, r.ids) for r in sorted(done, key=lambda r: r.part)]
 
 
+def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, pa.Array]]:
+    """(doc ids, texts) of batches in order, as many together as have ENCODED_BYTES of text at most."""
+    held, size = [], 0
+    for batch in batches:
+        texts = flat(batch.column(1))
+        n = len(offsets_of(texts)[0])
+        if held and size + n > ENCODED_BYTES:
+            yield tuple(map(pa.concat_arrays, zip(*held, strict=True)))
+            held, size = [], 0
+        held.append((batch.column(0), texts))
+        size += n
+    if held:
+        yield tuple(map(pa.concat_arrays, zip(*held, strict=True)))
+
+
 def read_tokens(spark: SparkSession, files: list[tuple[str, int, int]]) -> DataFrame:
     """One row for each document in the files: doc_id, start, n_tokens, ids_crc32."""
     bases = np.cumsum([0, *(n for _, _, n in files)]).tolist()
